@@ -1,0 +1,17 @@
+"""One local Spark session for tests and benches."""
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def make_session(cpus: str | None = None) -> SparkSession:
+    cpus = cpus or os.environ.get("BENCH_CPUS", "8")
+    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("tillscope")
+             .config("spark.sql.shuffle.partitions", cpus)
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.driver.memory", "8g")
+             .config("spark.ui.enabled", "false")
+             .getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
