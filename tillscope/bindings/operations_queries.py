@@ -243,19 +243,16 @@ def actual_projection_table(spark, d):
 
 @query(None)
 def demand_projection_trees(spark, d):
-    return P.demand_projection(done(spark, d), R.products(spark, d), R.order_ads(spark, d))
-
-
-@query(None)
-def demand_whatif_trees(spark, d):
+    """Demand with mean spending and with last year's adjusted plan, from one fit."""
+    model = P.fit_demand(done(spark, d), R.products(spark, d), R.order_ads(spark, d))
     plan = P.plan_spend(D.ad_plan_monthly(adjusted_plan(spark, d)))
     shifted = plan.withColumn("month", F.add_months("month", 12))
-    return P.demand_projection(done(spark, d), R.products(spark, d),
-                               R.order_ads(spark, d), shifted, horizon=6)
+    return (model.project().withColumn("scenario", F.lit("mean spending"))
+            .unionByName(model.project(6, shifted).withColumn("scenario", F.lit("plan"))))
 
 
 def seasonal_demand(spark, d):
-    return P.demand_projection(done(spark, d), R.products(spark, d), None, horizon=6,
+    return P.demand_projection(done(spark, d), R.products(spark, d), horizon=6,
                                method="seasonal")
 
 

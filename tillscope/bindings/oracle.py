@@ -121,7 +121,7 @@ _ROLES = {
                cast(sum(floor(c_acctbal)) as bigint) budget, count(*) * 1000 actual_spend
         from customer group by c_nationkey""",
     "windows": """
-        select *, end_date - start_date nights from campaigns""",
+        select *, cast(end_date - start_date as int) nights from campaigns""",
     "expenses": """
         select strftime(m, '%Y-%m') as month, sales as 売上, pieces * 900 as 原価,
                n * 150 as 広告費, pieces * 20 as 倉庫代, n * 500 as 外注費,
@@ -149,6 +149,7 @@ _ROLES = {
         from cube""",
     "flags": """
         select f.flag, coalesce(cast(sum(revenue) as double), 0) revenue,
+               sum(revenue) money,
                cast(coalesce(sum(orders), 0) as bigint) orders,
                count(distinct customer_id) customers,
                cast(coalesce(sum(pieces), 0) as double) pieces,

@@ -157,7 +157,7 @@ def new_repeat_monthly_lifetime(spark, d):
     return A.new_repeat_monthly(two_years(spark, d), history=done(spark, d))
 
 
-@query(f"""select flag, revenue, {ratio('revenue', '(sum(revenue) over ())')} * 100 share_pct
+@query(f"""select flag, revenue, {ratio('revenue', '(sum(money) over ())')} * 100 share_pct
     from flags""", period=TWO_YEARS)
 def new_repeat_share(spark, d):
     return A.new_repeat_share(two_years(spark, d))
@@ -279,14 +279,15 @@ def first_purchase(spark, d):
 # ── visitors ────────────────────────────────────────────────────────────────
 
 _VALUE = f"""
-    select segment, coalesce(uu, 0) uu, coalesce(sales, 0) sales, coalesce(n, 0) orders,
+    select segment, coalesce(uu, 0) uu, coalesce(cast(sales as double), 0) sales,
+           coalesce(n, 0) orders,
            {ratio('sales', 'uu')} uu_unit_price, {ratio('n', 'uu')} cvr,
-           {ratio('sales', 'n')} aov, {ratio('sales', 'sum(sales) over ()')} sales_ratio,
-           {ratio('uu', 'sum(uu) over ()')} uu_ratio
+           {ratio('sales', 'n')} aov, {ratio('sales', '(sum(sales) over ())')} sales_ratio,
+           {ratio('uu', '(sum(uu) over ())')} uu_ratio
     from (select distinct customer_type segment from customers)
     left join (select customer_type segment, count(distinct customer_id) uu
                from visitors group by 1) using (segment)
-    left join (select customer_type segment, cast(sum(total_amount) as double) sales,
+    left join (select customer_type segment, sum(total_amount) sales,
                       count(distinct order_id) n
                from bought join customers using (customer_id) group by 1) using (segment)"""
 _EVENTS = {"visitors": """select * from sessions where is_logged_in

@@ -22,7 +22,7 @@ def trailing_period(df: DataFrame, date: str, months: int, latest: Column | None
     Pass ``latest`` when the newest date is known or cheaper to read elsewhere.
     """
     latest = latest_date(df, date) if latest is None else latest
-    return df.where(F.col(date).between(period_start(latest, months, floor), latest))
+    return date_range(df, date, period_start(latest, months, floor), latest)
 
 
 def date_range(df: DataFrame, date: str, start, end) -> DataFrame:
@@ -41,5 +41,5 @@ def last_months(df: DataFrame, date: str, months: int,
 
 def latest_snapshot(df: DataFrame, date: str, latest: Column | None = None) -> DataFrame:
     """Rows of the newest date of the whole table (not the newest per key)."""
-    latest = latest_date(df, date) if latest is None else latest
+    latest = df.agg(F.max(date)).scalar() if latest is None else latest
     return df.where(F.col(date) == latest)

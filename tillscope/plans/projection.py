@@ -10,11 +10,14 @@ Training rows are months by series, so the model input is small however long the
 order table is.
 """
 
-from pyspark.ml import Pipeline
+from typing import NamedTuple
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope import schemas as S
 from tillscope.functions.columns import month_label, month_start, yen, zero_if_null
@@ -88,10 +91,16 @@ def future_months(indexed: DataFrame, key: str, horizon: int) -> DataFrame:
 # ── models ──────────────────────────────────────────────────────────────────
 
 
-def _trees(history, future, key, value, features, trees, depth, seed):
-    """Fit on ``history`` and add the prediction of ``value`` to ``future``."""
-    means = history.groupBy(key).agg(F.avg(F.col(value).cast("double")).alias("scale"))
-    train = (history.join(means, key)
+def fit_trees(indexed: DataFrame, key: str, value: str, add_features, features,
+              trees: int, depth: int, seed: int) -> "FittedTrees":
+    """Fit one ensemble over all series, each divided by its own mean.
+
+    The rows kept in memory are months by series; the fit reads them once per tree
+    level, and a lost block is computed again from the tables.
+    """
+    indexed = indexed.persist()
+    scales = indexed.groupBy(key).agg(F.avg(F.col(value).cast("double")).alias("scale"))
+    train = (add_features(indexed).join(scales, key)
              .withColumn("label", F.coalesce(F.try_divide(
                  F.col(value).cast("double"), F.col("scale")), F.lit(0.0))))
     pipeline = Pipeline(stages=[
@@ -100,60 +109,116 @@ def _trees(history, future, key, value, features, trees, depth, seed):
         VectorAssembler(inputCols=[*features, "__series"], outputCol="features"),
         GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, maxBins=256)])
     model = pipeline.fit(train.select(key, "label", *features))
-    return (model.transform(future).join(means, key)
-            .withColumn(value, F.col("prediction") * F.col("scale")))
+    return FittedTrees(model, indexed, scales, key, value)
 
 
-def seasonal(indexed: DataFrame, future: DataFrame, key: str, value: str) -> DataFrame:
-    """Trend by least squares over ``month_num`` plus a mean month-of-year offset.
+def seasonal(history: DataFrame, key: str, value: str, horizon: int) -> DataFrame:
+    """Trend by least squares over the month number plus a mean month-of-year offset.
 
-    Everything comes from sums of whole numbers or decimals, so the result does not
-    depend on the order in which rows are added.
+    A series is one row holding its months as an array, so fit and projection need no
+    join. Sums stay whole numbers or decimals and do not depend on the order of rows.
     """
-    x, y = F.col("month_num"), F.col(value)
-    moy = F.month("month").alias("moy")
-    months = (indexed.groupBy(key, moy)
-              .agg(F.count("*").alias("k"), F.sum(x).alias("kx"), F.sum(y).alias("ky"),
-                   F.sum(x * x).alias("kxx"), F.sum(x * y).alias("kxy")))
-    total = (months.groupBy(key).agg(*[
-        F.sum(c).cast("double").alias(a)
-        for c, a in (("k", "n"), ("kx", "sx"), ("ky", "sy"), ("kxx", "sxx"),
-                     ("kxy", "sxy"))]))
-    spread = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    fit = (total.withColumn("slope", F.coalesce(F.try_divide(
-               F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), spread), F.lit(0.0)))
-           .withColumn("intercept",
-                       (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
-           .select(key, "slope", "intercept"))
-    k = F.col("k").cast("double")
-    offsets = months.join(fit, key).select(
-        key, "moy", ((F.col("ky").cast("double") - k * F.col("intercept")
-                      - F.col("slope") * F.col("kx").cast("double")) / k).alias("offset"))
-    return (future.withColumn("moy", moy).join(fit, key)
-            .join(offsets, [key, "moy"], "left")
-            .withColumn(value, F.col("intercept") + F.col("slope") * F.col("month_num")
-                        + F.coalesce("offset", F.lit(0.0))))
+    kind = history.schema[value].dataType
+    exact = T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
+    rows = (history.groupBy(key)
+            .agg(F.sort_array(F.collect_list(F.struct("month", value))).alias("rows"))
+            .select(key, F.transform("rows", lambda r, i: F.struct(
+                r["month"].alias("month"), i.cast("long").alias("x"),
+                r[value].alias("y"))).alias("rows")))
+
+    def add(rows, term, kind="long"):
+        return F.aggregate(rows, F.lit(0).cast(kind),
+                           lambda total, r: (total + term(r)).cast(kind)).cast("double")
+
+    def sums(rows):
+        return {"n": F.size(rows).cast("double"), "sx": add(rows, lambda r: r["x"]),
+                "sy": add(rows, lambda r: r["y"], exact)}
+
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    fit = rows.withColumns({
+        **sums("rows"), "sxx": add("rows", lambda r: r["x"] * r["x"]),
+        "sxy": add("rows", lambda r: r["x"] * r["y"], exact),
+        "last_month": F.element_at("rows", -1)["month"]})
+    fit = fit.withColumn("slope", F.coalesce(F.try_divide(
+        n * F.col("sxy") - sx * sy, n * F.col("sxx") - sx * sx), F.lit(0.0)))
+    fit = fit.withColumn("intercept", (sy - F.col("slope") * sx) / n)
+
+    ahead = (fit.select(key, "rows", "slope", "intercept", "last_month",
+                        F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+             .withColumn("month", F.add_months("last_month", F.col("step")))
+             .withColumn("month_num",
+                         (F.size("rows") - 1 + F.col("step")).cast("long")))
+    alike = F.filter("rows", lambda r: F.month(r["month"]) == F.month(F.col("month")))
+    ahead = ahead.withColumn("alike", alike).withColumns(sums("alike"))
+    offset = F.when(n > 0, (sy - n * F.col("intercept") - F.col("slope") * sx) / n)
+    return ahead.select(key, "month", "month_num",
+                        (F.col("intercept") + F.col("slope") * F.col("month_num")
+                         + F.coalesce(offset, F.lit(0.0))).alias(value))
+
+
+class FittedTrees(NamedTuple):
+    """A fitted ensemble with the index of its series and their scales."""
+    model: PipelineModel
+    indexed: DataFrame
+    scales: DataFrame
+    key: str
+    value: str
+
+    def project(self, future: DataFrame) -> DataFrame:
+        return (self.model.transform(future).join(self.scales, self.key)
+                .withColumn(self.value, F.col("prediction") * F.col("scale")))
 
 
 def sales_projection(orders: DataFrame, horizon: int = 6, method: str = "trees",
                      trees: int = 100, depth: int = 3, seed: int = 42) -> DataFrame:
     """Monthly revenue ``horizon`` months ahead with a band of 30 % either way."""
-    history = monthly_sales(orders).withColumnRenamed("revenue", "sales")
-    indexed = month_index(history.withColumn("series", F.lit("all")), "series")
-    if method == "trees":
-        indexed = indexed.persist()  # months only; the fit reads it many times
-    future = future_months(indexed, "series", horizon)
-    if method == "trees":
-        result = _trees(month_flags(indexed), month_flags(future), "series", "sales",
-                        ["month_num", *MONTH_FLAGS], trees, depth, seed)
+    history = (monthly_sales(orders).withColumnRenamed("revenue", "sales")
+               .withColumn("series", F.lit("all")))
+    if method == "seasonal":
+        result = seasonal(history, "series", "sales", horizon)
     else:
-        result = seasonal(indexed, future, "series", "sales")
+        fitted = fit_trees(month_index(history, "series"), "series", "sales",
+                           month_flags, ["month_num", *MONTH_FLAGS], trees, depth, seed)
+        result = fitted.project(month_flags(future_months(fitted.indexed, "series", horizon)))
     return (result.select("month", "month_num", "sales",
                           (F.col("sales") * 0.7).alias("lower"),
                           (F.col("sales") * 1.3).alias("upper")).orderBy("month"))
 
 
-def demand_projection(orders: DataFrame, products: DataFrame, ads: DataFrame | None,
+def _whole_pieces(result: DataFrame) -> DataFrame:
+    return (result.select("category", "month", "month_num",
+                          F.greatest(F.col("qty"), F.lit(0.0)).cast("long").alias("qty"))
+            .orderBy("category", "month"))
+
+
+class DemandModel(NamedTuple):
+    """Demand trees and the past mean spending; one fit serves any number of plans."""
+    fitted: FittedTrees
+    mean_spend: DataFrame
+
+    def project(self, horizon: int = 12, plan: DataFrame | None = None) -> DataFrame:
+        """Pieces by category and month; months without planned spending get the mean."""
+        mean = self.mean_spend.scalar()
+        ahead = month_flags(future_months(self.fitted.indexed, "category", horizon))
+        ahead = (ahead.withColumn("ad_spend", mean) if plan is None
+                 else with_ad_spend(ahead, plan, mean))
+        return _whole_pieces(self.fitted.project(ahead))
+
+
+def fit_demand(orders: DataFrame, products: DataFrame, ads: DataFrame, trees: int = 100,
+               depth: int = 3, seed: int = 42, min_months: int = 6) -> DemandModel:
+    """Fit demand by category on month, month of year and that month's ad spending."""
+    history = category_monthly_quantity(orders, products, min_months)
+    mean, spend = mean_monthly_ad_spend(ads), monthly_ad_spend(ads)
+
+    def features(frame):
+        return with_ad_spend(month_flags(frame), spend, mean.scalar())
+    fitted = fit_trees(month_index(history, "category"), "category", "qty", features,
+                       ["month_num", "ad_spend", *MONTH_FLAGS], trees, depth, seed)
+    return DemandModel(fitted, mean)
+
+
+def demand_projection(orders: DataFrame, products: DataFrame, ads: DataFrame | None = None,
                       plan: DataFrame | None = None, horizon: int = 12,
                       method: str = "trees", trees: int = 100, depth: int = 3,
                       seed: int = 42, min_months: int = 6) -> DataFrame:
@@ -162,25 +227,11 @@ def demand_projection(orders: DataFrame, products: DataFrame, ads: DataFrame | N
     ``plan`` (month, ad_spend) is the spending to assume; months outside it get the
     past mean, as do past months without spending. Only ``trees`` reacts to spending.
     """
-    history = category_monthly_quantity(orders, products, min_months)
-    indexed = month_index(history, "category")
-    if method == "trees":
-        indexed = indexed.persist()  # months by category; the fit reads it many times
-    future = future_months(indexed, "category", horizon)
-    if method == "trees":
-        mean = mean_monthly_ad_spend(ads).scalar()
-        spend = monthly_ad_spend(ads)
-        train = with_ad_spend(month_flags(indexed), spend, mean)
-        ahead = month_flags(future)
-        ahead = (ahead.withColumn("ad_spend", mean) if plan is None
-                 else with_ad_spend(ahead, plan, mean))
-        result = _trees(train, ahead, "category", "qty",
-                        ["month_num", "ad_spend", *MONTH_FLAGS], trees, depth, seed)
-    else:
-        result = seasonal(indexed, future, "category", "qty")
-    return (result.select("category", "month", "month_num",
-                          F.greatest(F.col("qty"), F.lit(0.0)).cast("long").alias("qty"))
-            .orderBy("category", "month"))
+    if method == "seasonal":
+        history = category_monthly_quantity(orders, products, min_months)
+        return _whole_pieces(seasonal(history, "category", "qty", horizon))
+    return fit_demand(orders, products, ads, trees, depth, seed,
+                      min_months).project(horizon, plan)
 
 
 def plan_spend(monthly_plan: DataFrame) -> DataFrame:

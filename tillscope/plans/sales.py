@@ -12,7 +12,7 @@ from tillscope import schemas as S
 from tillscope.functions.columns import (
     lookup, month_start, percent_change, safe_ratio, sku_label, zero_if_null)
 from tillscope.operators.domains import domain, fill_domain
-from tillscope.operators.periods import latest_date, trailing_period
+from tillscope.operators.periods import latest_date, period_start, trailing_period
 from tillscope.operators.ranking import top_k
 
 
@@ -47,8 +47,8 @@ def trailing_kpis(orders: DataFrame, months=(1, 3, 6, 12),
     """KPIs of several trailing periods from one scan; each line joins those it is in."""
     latest = latest_date(orders, "order_date") if latest is None else latest
     recent = trailing_period(orders, "order_date", max(months), latest)
-    inside = F.filter(F.array(*map(F.lit, months)), lambda m: F.col("order_date")
-                      >= month_start(F.add_months(latest, -m)))
+    inside = F.array_compact(F.array(*[
+        F.when(F.col("order_date") >= period_start(latest, m), m) for m in months]))
     return (recent.withColumn("months", F.explode(inside))
             .groupBy("months").agg(*_kpis(F.count_distinct))
             .withColumn("aov", safe_ratio("revenue", "orders")).orderBy("months"))
@@ -64,7 +64,7 @@ def period_comparison(orders: DataFrame, base: str | None = "previous_month",
     days of the month. Only lines of the two windows are read past the filter.
     """
     latest = latest_date(orders, "order_date") if latest is None else latest
-    day = F.col("order_date")
+    day = F.col("order_date").cast("date")
     this = month_start(latest)
     back = {"previous_month": -1, "previous_year": -12, None: None}[base]
     period = F.when((day >= this) & (day <= latest), F.lit("current"))

@@ -50,7 +50,7 @@ def segment_visitor_value(sessions: DataFrame | None, orders: DataFrame,
     table = fill_domain(table, bought, "segment", zeros=("sales", "orders"))
     total = Window.partitionBy()  # the table has one row per segment
     return table.select(
-        "segment", "uu", F.col("sales").cast("double").alias("sales"), "orders",
+        "segment", "uu", "sales", "orders",
         safe_ratio("sales", "uu").alias("uu_unit_price"),
         safe_ratio("orders", "uu").alias("cvr"),
         safe_ratio("sales", "orders").alias("aov"),
