@@ -12,6 +12,7 @@ def make_session(cpus: str | None = None) -> SparkSession:
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.functions.columns import month_start
+from tillscope.operators.asof import HOT_ROWS, hot_keys
 from tillscope.sources.tables import rename_warehouses
 
 DONE = "F"
@@ -22,8 +23,28 @@ VISIT_BUCKETS = {"1-URGENT": "paid", "2-HIGH": "paid", "3-MEDIUM": "organic",
 VISIT_ADS = ("1-URGENT", "2-HIGH")
 
 
+# Declared, so that opening a table reads no file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+                " c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+            " p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string,"
+              " o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+                " l_quantity double, l_extendedprice double, l_discount double,"
+                " l_tax double, l_returnflag string, l_linestatus string,"
+                " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+              " value double, props string",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
 def order_heads(spark, d):
@@ -109,6 +130,16 @@ def visits_with_type(spark, d):
     return visits(spark, d).join(kinds, "customer_id", "left")
 
 
+def hot_buyers(spark, d):
+    """Customers with very many orders, counted without the lines."""
+    return hot_keys([order_heads(spark, d)], "customer_id", HOT_ROWS // 4)
+
+
+def hot_users(spark, d):
+    return hot_keys([table(spark, d, "events").select(F.col("user_id").alias("customer_id"))],
+                    "customer_id")
+
+
 def behavior(spark, d):
     """Daily site totals, derived from the orders of each day."""
     key = F.col("o_orderkey")

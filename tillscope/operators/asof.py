@@ -2,8 +2,8 @@
 
 Both sides are unioned and a running maximum picks the touch, so no pairs are made
 and every row is shuffled once. A key with very many rows would put one window group
-on one task; such keys are found by a count and cut into time slices. The last touch
-before a slice is carried in as a seed row, which keeps the answer exact.
+on one task; such keys are cut into time slices, and the last touch before a slice is
+carried into it as a seed row, which keeps the answer exact.
 """
 
 from functools import reduce
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
+NULL_KEY_GROUPS = 4096
 
 
 def hot_keys(sides, by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -32,50 +33,61 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
 
     Equal times match. Right rows at one instant are ordered by ``tie``. Left rows
     without key, time or earlier touch keep NULLs; a touch whose payload is NULL still
-    counts as the touch. ``hot`` overrides the search for hot keys.
+    counts as the touch.
+
+    ``hot`` lists the keys to cut into slices of ``slice_minutes``; without it they are
+    counted on both sides. Whether there are any is asked when the join is built, so
+    that the usual plan, without hot keys, is one shuffle and nothing else.
     """
     columns, payload = left.columns, list(payload)
-    if hot is None:
-        hot = hot_keys([left, right], by, hot_rows)
-    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    hot = hot_keys([left, right], by, hot_rows) if hot is None else hot
+    has_hot = not hot.isEmpty()
 
     # Date, hour and minute of a zone-less timestamp: no time zone shift can reorder it.
-    minutes = (F.unix_date(F.to_date("__at")).cast("long") * 1440
-               + F.hour("__at") * 60 + F.minute("__at"))
+    minutes = F.expr("unix_date(to_date(__at)) * 1440L + hour(__at) * 60 + minute(__at)")
     slice_number = F.floor(minutes / slice_minutes)
 
     def sliced(df, on):
-        return (df.where(F.col(by).isNotNull() & F.col(on).isNotNull())
-                .withColumn("__at", F.col(on).cast("timestamp_ntz"))
-                .join(hot, by, "left")
+        """Rows with time, hot mark and slice; only hot keys have slices."""
+        timed = df.withColumn("__at", F.col(on).cast("timestamp_ntz"))
+        if not has_hot:
+            return timed.withColumn("__slice", F.lit(None).cast("long"))
+        marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+        return (timed.join(marked, by, "left")
                 .withColumn("__slice", F.when(F.col("__hot"), slice_number)))
 
-    fields = ["__at", *tie, *payload]
-    touches = (sliced(right, right_on)
-               .select(by, "__at", "__slice", "__hot", F.struct(*fields).alias("__touch")))
+    touches = (sliced(right.where(F.col(by).isNotNull() & F.col(right_on).isNotNull()),
+                      right_on)
+               .withColumn("__touch", F.struct("__at", *tie, *payload)))
     rows = sliced(left, left_on)
-
-    slices = (touches.where("__hot").groupBy(by, "__slice")
-              .agg(F.max("__touch").alias("__touch"))
-              .unionByName(rows.where("__hot").select(by, "__slice").distinct(),
-                           allowMissingColumns=True)
-              .groupBy(by, "__slice").agg(F.max("__touch").alias("__touch")))
-    before = Window.partitionBy(by).orderBy("__slice").rowsBetween(
-        Window.unboundedPreceding, -1)
-    seeds = (slices.withColumn("__touch", F.max("__touch").over(before))
-             .where(F.col("__touch").isNotNull())
-             .select(by, "__slice", "__touch", F.col("__touch.__at").alias("__at")))
-
-    # Order within one instant: touches first, then the rows that may use them.
-    both = (rows.drop("__hot").withColumn("__side", F.lit(1))
-            .unionByName(touches.drop("__hot").withColumn("__side", F.lit(0)),
-                         allowMissingColumns=True)
-            .unionByName(seeds.withColumn("__side", F.lit(0)), allowMissingColumns=True))
+    keep = [by, "__at", "__slice", "__touch"]
+    parts = [touches.select(*keep)]
+    if has_hot:
+        parts.append(_seeds(rows.where("__hot"), touches.where("__hot"), by).select(*keep))
+
+    # Rows without a key meet no touch; a hash spreads them over many groups.
+    spread = F.pmod(F.xxhash64(*columns), F.lit(NULL_KEY_GROUPS))
+    both = (rows.withColumn("__slice", F.when(F.col(by).isNull(), spread)
+                            .otherwise(F.col("__slice")))
+            .select(*columns, "__at", "__slice", F.lit(1).alias("__side")))
+    for part in parts:
+        both = both.unionByName(part.withColumn("__side", F.lit(0)),
+                                allowMissingColumns=True)
+    # Within one instant touches come first, then the rows that may use them.
     upto = (Window.partitionBy(by, "__slice").orderBy("__at", "__side")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = F.max("__touch").over(upto)
-    matched = (both.withColumn("__found", found).where(F.col("__side") == 1)
-               .select(*columns, *[F.col(f"__found.{c}").alias(c) for c in payload]))
+    return (both.withColumn("__found", F.max("__touch").over(upto))
+            .where(F.col("__side") == 1)
+            .select(*columns, *[F.col(f"__found.{c}").alias(c) for c in payload]))
 
-    unkeyed = left.where(F.col(by).isNull() | F.col(left_on).isNull())
-    return matched.unionByName(unkeyed, allowMissingColumns=True)
+
+def _seeds(rows, touches, by):
+    """The last touch before each slice of the hot keys, one row per slice."""
+    slices = (touches.groupBy(by, "__slice").agg(F.max("__touch").alias("__touch"))
+              .unionByName(rows.select(by, "__slice").distinct(), allowMissingColumns=True)
+              .groupBy(by, "__slice").agg(F.max("__touch").alias("__touch")))
+    before = (Window.partitionBy(by).orderBy("__slice")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (slices.withColumn("__touch", F.max("__touch").over(before))
+            .where(F.col("__touch").isNotNull())
+            .withColumn("__at", F.col("__touch.__at")))
