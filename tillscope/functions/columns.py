@@ -74,12 +74,13 @@ def yen(c) -> Column:
 
 
 def percent_text(ratio, digits=2) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", _col(ratio).cast("double") * 100),
-                    F.lit("%"))
+    pct = F.bround(_col(ratio).cast("double") * 100, digits)  # halves to even
+    return F.concat(F.format_string(f"%.{digits}f", pct), F.lit("%"))
 
 
 def signed_percent(pct, suffix="") -> Column:
-    return F.concat(F.format_string("%+.1f", _col(pct).cast("double")), F.lit("%" + suffix))
+    rounded = F.bround(_col(pct).cast("double"), 1)  # halves to even
+    return F.concat(F.format_string("%+.1f", rounded), F.lit("%" + suffix))
 
 
 def percent_change(current, base) -> Column:
