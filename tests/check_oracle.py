@@ -9,7 +9,7 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as E  # noqa: E402
-from tests.session import make_session  # noqa: E402
+from tillscope.session import make_session  # noqa: E402
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events")

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tests.session import make_session  # noqa: E402
+from tillscope.session import make_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

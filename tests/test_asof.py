@@ -78,3 +78,11 @@ def test_usual_plan_has_one_shuffle(spark):
     joined = asof_join(left, right, "k", "at", "seen", ["channel"], tie=["tie"])
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_many_rows_at_one_instant(spark):
+    t = datetime(2026, 1, 5, 9)
+    left = [(i, "a", t, i) for i in range(200)] + [(900, "b", t, 0), (901, None, t, 0)]
+    right = [("a", t, i, f"c{i}") for i in range(100)]
+    got = run(spark, left, right, hot_rows=50)
+    assert got == brute(left, right) and len(got) == 202

@@ -222,7 +222,7 @@ def sales_projection_seasonal(spark, d):
     return P.sales_projection(done(spark, d), method="seasonal")
 
 
-@query("""select month, kind, sales, lower, upper, strftime(month, '%Y/%m') label
+_ACTUAL_AND_PROJECTED = """select month, kind, sales, lower, upper, strftime(month, '%Y/%m') label
     from (select m as month, '実績' kind, coalesce('¥' || format('{:,}',
                  cast(round_even(cast(y as double), 0) as bigint)), '—') sales,
                  '—' lower, '—' upper
@@ -233,14 +233,30 @@ def sales_projection_seasonal(spark, d):
           select month, '予測', '¥' || format('{:,}', cast(round_even(y, 0) as bigint)),
                  '¥' || format('{:,}', cast(round_even(y * 0.7::double, 0) as bigint)),
                  '¥' || format('{:,}', cast(round_even(y * 1.3::double, 0) as bigint))
-          from projected)""", series=_SALES_SERIES)
-def actual_projection_table(spark, d):
+          from projected)"""
+
+
+def _actual_and_projected(spark, d):
     sales = done(spark, d)
     return P.actual_projection_table(S.monthly_sales(sales),
                                      P.sales_projection(sales, method="seasonal"),
                                      "2001-02-01", "2001-08-01")
 
 
+@query(_ACTUAL_AND_PROJECTED, series=_SALES_SERIES)
+def actual_projection_table(spark, d):
+    return _actual_and_projected(spark, d)
+
+
+@query(" union all ".join(
+    f"select '{i}' item, " + ", ".join(
+        f"max({i}) filter (label = '{m}') \"{m}\"" for m in TABLE_LABELS)
+    + " from shown" for i in ("kind", "sales", "lower", "upper")),
+    series=_SALES_SERIES, shown=_ACTUAL_AND_PROJECTED)
+def actual_projection_matrix(spark, d):
+    return P.months_as_columns(_actual_and_projected(spark, d), TABLE_LABELS)
+
+
 @query(None)
 def demand_projection_trees(spark, d):
     """Demand with mean spending and with last year's adjusted plan, from one fit."""

@@ -121,8 +121,7 @@ def period_comparison_month(spark, d):
 
 
 @query(_COMPARE, labelled=_LABELLED.format(
-    lo=f"{_MONTH} - interval 12 month",
-    hi=f"{_MONTH} - interval 11 month - interval 1 day"))
+    lo=f"{_MONTH} - interval 12 month", hi="d - interval 12 month"))
 def period_comparison_year(spark, d):
     return A.period_comparison(done(spark, d), "previous_year", latest=latest(spark, d))
 

@@ -2,8 +2,9 @@
 
 Both sides are unioned and a running maximum picks the touch, so no pairs are made
 and every row is shuffled once. A key with very many rows would put one window group
-on one task; such keys are cut into time slices, and the last touch before a slice is
-carried into it as a seed row, which keeps the answer exact.
+on one task. Such keys go another way: their rows are reduced to distinct times, the
+times are cut into slices, and the last touch before a slice is carried into it as a
+seed row, which keeps the answer exact.
 """
 
 from functools import reduce
@@ -41,53 +42,59 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
     """
     columns, payload = left.columns, list(payload)
     hot = hot_keys([left, right], by, hot_rows) if hot is None else hot
-    has_hot = not hot.isEmpty()
-
-    # Date, hour and minute of a zone-less timestamp: no time zone shift can reorder it.
-    minutes = F.expr("unix_date(to_date(__at)) * 1440L + hour(__at) * 60 + minute(__at)")
-    slice_number = F.floor(minutes / slice_minutes)
-
-    def sliced(df, on):
-        """Rows with time, hot mark and slice; only hot keys have slices."""
-        timed = df.withColumn("__at", F.col(on).cast("timestamp_ntz"))
-        if not has_hot:
-            return timed.withColumn("__slice", F.lit(None).cast("long"))
-        marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-        return (timed.join(marked, by, "left")
-                .withColumn("__slice", F.when(F.col("__hot"), slice_number)))
-
-    touches = (sliced(right.where(F.col(by).isNotNull() & F.col(right_on).isNotNull()),
-                      right_on)
-               .withColumn("__touch", F.struct("__at", *tie, *payload)))
-    rows = sliced(left, left_on)
-    keep = [by, "__at", "__slice", "__touch"]
-    parts = [touches.select(*keep)]
-    if has_hot:
-        parts.append(_seeds(rows.where("__hot"), touches.where("__hot"), by).select(*keep))
-
+    rows = left.withColumn("__at", F.col(left_on).cast("timestamp_ntz"))
+    touches = (right.where(F.col(by).isNotNull() & F.col(right_on).isNotNull())
+               .withColumn("__at", F.col(right_on).cast("timestamp_ntz"))
+               .select(by, "__at", F.struct("__at", *tie, *payload).alias("__touch")))
     # Rows without a key meet no touch; a hash spreads them over many groups.
-    spread = F.pmod(F.xxhash64(*columns), F.lit(NULL_KEY_GROUPS))
-    both = (rows.withColumn("__slice", F.when(F.col(by).isNull(), spread)
-                            .otherwise(F.col("__slice")))
-            .select(*columns, "__at", "__slice", F.lit(1).alias("__side")))
-    for part in parts:
-        both = both.unionByName(part.withColumn("__side", F.lit(0)),
-                                allowMissingColumns=True)
+    spread = F.when(F.col(by).isNull(), F.pmod(F.xxhash64(*columns), F.lit(NULL_KEY_GROUPS)))
+    no_group = F.lit(None).cast("long")
+
+    def usual(rows, touches):
+        return _running(rows.withColumn("__group", spread),
+                        touches.withColumn("__group", no_group), by)
+    if hot.isEmpty():
+        found = usual(rows, touches)
+    else:
+        def part(df, how):
+            return df.join(F.broadcast(hot), by, how)
+        found = usual(part(rows, "left_anti"), part(touches, "left_anti")).unionByName(
+            _sliced(part(rows, "left_semi"), part(touches, "left_semi"), by, slice_minutes))
+    return found.select(*columns, *[F.col(f"__found.{c}").alias(c) for c in payload])
+
+
+def _running(rows, touches, by):
+    """``rows`` with ``__found``, the largest touch so far within key and group."""
+    both = (rows.withColumn("__side", F.lit(1))
+            .unionByName(touches.withColumn("__side", F.lit(0)), allowMissingColumns=True))
     # Within one instant touches come first, then the rows that may use them.
-    upto = (Window.partitionBy(by, "__slice").orderBy("__at", "__side")
+    upto = (Window.partitionBy(by, "__group").orderBy("__at", "__side")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (both.withColumn("__found", F.max("__touch").over(upto))
-            .where(F.col("__side") == 1)
-            .select(*columns, *[F.col(f"__found.{c}").alias(c) for c in payload]))
+            .where(F.col("__side") == 1).drop("__side", "__touch", "__group"))
 
 
-def _seeds(rows, touches, by):
-    """The last touch before each slice of the hot keys, one row per slice."""
-    slices = (touches.groupBy(by, "__slice").agg(F.max("__touch").alias("__touch"))
-              .unionByName(rows.select(by, "__slice").distinct(), allowMissingColumns=True)
-              .groupBy(by, "__slice").agg(F.max("__touch").alias("__touch")))
-    before = (Window.partitionBy(by).orderBy("__slice")
+def _sliced(rows, touches, by, slice_minutes):
+    """The same for hot keys, on distinct times; rows get their answer by a join.
+
+    In that join a time occurs once on the found side, so a time shared by very many
+    rows can be split by the adaptive skew join.
+    """
+    # Date, hour and minute of a zone-less timestamp: no time zone shift can reorder it.
+    minutes = F.expr("unix_date(to_date(__at)) * 1440L + hour(__at) * 60 + minute(__at)")
+    group = F.floor(minutes / slice_minutes)
+    times = (rows.select(by, "__at").where(F.col("__at").isNotNull()).distinct()
+             .withColumn("__group", group))
+    last = (touches.groupBy(by, "__at").agg(F.max("__touch").alias("__touch"))
+            .withColumn("__group", group))
+
+    slices = (last.groupBy(by, "__group").agg(F.max("__touch").alias("__touch"))
+              .unionByName(times.select(by, "__group"), allowMissingColumns=True)
+              .groupBy(by, "__group").agg(F.max("__touch").alias("__touch")))
+    before = (Window.partitionBy(by).orderBy("__group")
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (slices.withColumn("__touch", F.max("__touch").over(before))
-            .where(F.col("__touch").isNotNull())
-            .withColumn("__at", F.col("__touch.__at")))
+    seeds = (slices.withColumn("__touch", F.max("__touch").over(before))
+             .where(F.col("__touch").isNotNull())
+             .withColumn("__at", F.col("__touch.__at")))
+    found = _running(times, last.unionByName(seeds), by)
+    return rows.join(found, [by, "__at"], "left")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tillscope import schemas as S
 from tillscope.functions.columns import month_label, month_start, yen, zero_if_null
 from tillscope.operators.domains import month_domain
-from tillscope.operators.periods import last_months
+from tillscope.operators.periods import last_months, latest_date
 from tillscope.plans.ads import mean_monthly_ad_spend, monthly_ad_spend
 from tillscope.plans.sales import monthly_sales
 
@@ -33,7 +33,8 @@ MONTH_FLAGS = [f"m_{m}" for m in range(1, 13)]
 
 
 def category_monthly_quantity(orders: DataFrame, products: DataFrame,
-                              min_months: int = 1) -> DataFrame:
+                              min_months: int = 1,
+                              drop_partial: bool = False) -> DataFrame:
     """Pieces by category and month, categories with ``min_months`` months or more."""
     per_sku = (orders.where(F.col("sku_id").isNotNull())
                .groupBy("sku_id", month_start("order_date").alias("month"))
@@ -41,6 +42,8 @@ def category_monthly_quantity(orders: DataFrame, products: DataFrame,
     monthly = (per_sku.join(products.select("sku_id", "category"), "sku_id")
                .dropna(subset=["category", "month"]).groupBy("category", "month")
                .agg(zero_if_null(F.sum("quantity")).alias("qty")))
+    if drop_partial:
+        monthly = drop_partial_month(monthly, latest_date(orders, "order_date"))
     if min_months <= 1:
         return monthly
     months = F.count("*").over(Window.partitionBy("category"))  # one row per month
@@ -170,10 +173,16 @@ class FittedTrees(NamedTuple):
 
 
 def sales_projection(orders: DataFrame, horizon: int = 6, method: str = "trees",
-                     trees: int = 100, depth: int = 3, seed: int = 42) -> DataFrame:
-    """Monthly revenue ``horizon`` months ahead with a band of 30 % either way."""
+                     trees: int = 100, depth: int = 3, seed: int = 42,
+                     drop_partial: bool = False) -> DataFrame:
+    """Monthly revenue ``horizon`` months ahead with a band of 30 % either way.
+
+    A partial last month counts like a full one unless ``drop_partial``.
+    """
     history = (monthly_sales(orders).withColumnRenamed("revenue", "sales")
                .withColumn("series", F.lit("all")))
+    if drop_partial:
+        history = drop_partial_month(history, latest_date(orders, "order_date"))
     if method == "seasonal":
         result = seasonal(history, "series", "sales", horizon)
     else:
@@ -206,9 +215,10 @@ class DemandModel(NamedTuple):
 
 
 def fit_demand(orders: DataFrame, products: DataFrame, ads: DataFrame, trees: int = 100,
-               depth: int = 3, seed: int = 42, min_months: int = 6) -> DemandModel:
+               depth: int = 3, seed: int = 42, min_months: int = 6,
+               drop_partial: bool = False) -> DemandModel:
     """Fit demand by category on month, month of year and that month's ad spending."""
-    history = category_monthly_quantity(orders, products, min_months)
+    history = category_monthly_quantity(orders, products, min_months, drop_partial)
     mean, spend = mean_monthly_ad_spend(ads), monthly_ad_spend(ads)
 
     def features(frame):
@@ -221,17 +231,18 @@ def fit_demand(orders: DataFrame, products: DataFrame, ads: DataFrame, trees: in
 def demand_projection(orders: DataFrame, products: DataFrame, ads: DataFrame | None = None,
                       plan: DataFrame | None = None, horizon: int = 12,
                       method: str = "trees", trees: int = 100, depth: int = 3,
-                      seed: int = 42, min_months: int = 6) -> DataFrame:
+                      seed: int = 42, min_months: int = 6,
+                      drop_partial: bool = False) -> DataFrame:
     """Pieces by category and future month, never negative, cut to whole pieces.
 
     ``plan`` (month, ad_spend) is the spending to assume; months outside it get the
     past mean, as do past months without spending. Only ``trees`` reacts to spending.
     """
     if method == "seasonal":
-        history = category_monthly_quantity(orders, products, min_months)
+        history = category_monthly_quantity(orders, products, min_months, drop_partial)
         return _whole_pieces(seasonal(history, "category", "qty", horizon))
-    return fit_demand(orders, products, ads, trees, depth, seed,
-                      min_months).project(horizon, plan)
+    return fit_demand(orders, products, ads, trees, depth, seed, min_months,
+                      drop_partial).project(horizon, plan)
 
 
 def plan_spend(monthly_plan: DataFrame) -> DataFrame:

@@ -44,9 +44,14 @@ def revenue_kpis(orders: DataFrame, rsd: float | None = None) -> DataFrame:
 
 def trailing_kpis(orders: DataFrame, months=(1, 3, 6, 12),
                   latest: Column | None = None) -> DataFrame:
-    """KPIs of several trailing periods from one scan; each line joins those it is in."""
+    """KPIs of several trailing periods from one scan.
+
+    Lines are summed per order first; each order then joins the periods it is in.
+    """
     latest = latest_date(orders, "order_date") if latest is None else latest
-    recent = trailing_period(orders, "order_date", max(months), latest)
+    recent = (trailing_period(orders, "order_date", max(months), latest)
+              .groupBy("order_id", "customer_id", "order_date")
+              .agg(F.sum("total_amount").alias("total_amount")))
     inside = F.array_compact(F.array(*[
         F.when(F.col("order_date") >= period_start(latest, m), m) for m in months]))
     return (recent.withColumn("months", F.explode(inside))
@@ -55,19 +60,22 @@ def trailing_kpis(orders: DataFrame, months=(1, 3, 6, 12),
 
 
 def period_comparison(orders: DataFrame, base: str | None = "previous_month",
-                      like_for_like: bool = False,
+                      like_for_like: bool | None = None,
                       latest: Column | None = None) -> DataFrame:
     """KPIs of the newest month against the month before or the same month last year.
 
-    ``orders`` must be uncut by period, or the base has no rows. A whole base month is
-    compared to the current one so far; ``like_for_like`` cuts the base to the same
-    days of the month. Only lines of the two windows are read past the filter.
+    ``orders`` must be uncut by period, or the base has no rows. ``like_for_like`` cuts
+    the base month to the days elapsed in the current one; if not given, the month
+    before is taken whole and last year's month is cut. Only lines of the two windows
+    are read past the filter.
     """
     latest = latest_date(orders, "order_date") if latest is None else latest
     day = F.col("order_date").cast("date")
     this = month_start(latest)
     back = {"previous_month": -1, "previous_year": -12, None: None}[base]
     period = F.when((day >= this) & (day <= latest), F.lit("current"))
+    if like_for_like is None:
+        like_for_like = base == "previous_year"
     if back is not None:
         start = F.add_months(this, back)
         end = F.add_months(latest, back) if like_for_like else F.last_day(start)
