@@ -9,7 +9,7 @@ from tillscope.plans import inventory as I
 from tillscope.plans import pl as L
 from tillscope.plans import projection as P
 from tillscope.plans import replenishment as R
-from tillscope.plans.sales import completed, monthly_sales
+from tillscope.plans.sales import monthly_sales
 from tillscope.sources.tables import rename_warehouses
 
 SHIP, EC = S.SHIPPING_WAREHOUSE, S.EC_WAREHOUSE
@@ -96,13 +96,13 @@ def test_pl_matrix(expenses):
 
 
 def test_accounts(tables):
-    done, customers, products = completed(tables["orders"]), tables["customers"], tables["products"]
-    lines = A.account_lines(done, customers)      # launch 15 June clamps the six months
+    orders, customers, products = tables["orders"], tables["customers"], tables["products"]
+    lines = A.account_lines(orders, customers)    # launch 15 June clamps the six months
     assert sorted({r.order_id for r in lines.collect()}) == ["o3", "o4", "o9"]
     kpi = A.account_kpis(lines).first()
     assert (kpi.accounts, kpi.revenue, kpi.orders) == (2, 750, 3)
     assert (kpi.revenue_per_account, kpi.orders_per_account) == (375, 1.5)
-    late = A.account_lines(done, customers, launch="2027-01-01")
+    late = A.account_lines(orders, customers, launch="2027-01-01")
     assert A.account_kpis(late).first().revenue_per_account == 0
     table = rows(A.account_summary(lines), "customer_id", "last_order", "order_count",
                  "total_quantity", "total_amount")

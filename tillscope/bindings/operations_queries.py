@@ -8,7 +8,7 @@ from tillscope.bindings.oracle import ratio
 from tillscope.bindings.registry import query
 from tillscope.bindings.sales_queries import done, latest
 from tillscope.functions.columns import account_name
-from tillscope.operators.periods import latest_snapshot
+from tillscope.operators.periods import latest_date, latest_snapshot
 from tillscope.plans import accounts as A
 from tillscope.plans import ads as D
 from tillscope.plans import inventory as I
@@ -135,8 +135,9 @@ _POINTS = ("list_sum(list_transform(string_split(cast(customer_id as varchar), '
 
 
 def account_lines(spark, d):
-    return A.account_lines(done(spark, d), R.customers(spark, d), 12, LAUNCH,
-                           R.CORPORATE, latest(spark, d))
+    newest = latest_date(R.order_heads(spark, d), "order_date")
+    return A.account_lines(R.order_lines(spark, d), R.customers(spark, d), 12, LAUNCH,
+                           R.CORPORATE, R.DONE, newest)
 
 
 @query(f"""select customer_id, {_NAME} account_name

@@ -57,7 +57,8 @@ _ROLES = {
         select cast(o_orderdate as date) date, sum(30 + o_orderkey % 40) sessions,
                sum(15 + o_orderkey % 20) product_page_views,
                sum(1 + o_orderkey % 6) add_to_cart,
-               cast(sum(o_orderkey % 5) / sum(10) as decimal(6,4)) bounce_rate
+               cast(floor(sum(o_orderkey % 5) * 1000 / count(*)) as decimal(10,0))
+                 * 0.0001 bounce_rate
         from orders group by 1""",
     "ads": """
         select cast(ts as date) date, 'ch' || cast(user_id % 4 as varchar) channel,
@@ -158,7 +159,8 @@ _ROLES = {
         from (values ('新規'), ('リピート')) f(flag) left join flagged using (flag)
         group by 1""",
     "account_lines": """
-        select done.* from done join customers using (customer_id), latest
+        select done.* from done join customers using (customer_id),
+               (select max(order_date) d from heads)
         where customer_type = 'BUILDING' and order_date <= d
           and order_date >= greatest(date_trunc('month', d - interval 12 month),
                                      date '2000-10-15')""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillscope.bindings import roles as R
 from tillscope.bindings.oracle import ratio
 from tillscope.bindings.registry import query
-from tillscope.functions.columns import percent_text, sku_label, yen
+from tillscope.functions.columns import percent_text, signed_percent, sku_label, yen
 from tillscope.operators.periods import date_range, latest_date, trailing_period
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
@@ -120,6 +120,14 @@ def period_comparison_month(spark, d):
     return A.period_comparison(done(spark, d), "previous_month", latest=latest(spark, d))
 
 
+@query("""select measure, printf('%+.1f', round_even(change_pct, 1)) || '% 前月比' delta
+    from compared""", compared=_COMPARE, labelled=_LABELLED.format(
+    lo=f"{_MONTH} - interval 1 month", hi=f"{_MONTH} - interval 1 day"))
+def period_comparison_display(spark, d):
+    compared = A.period_comparison(done(spark, d), "previous_month", latest=latest(spark, d))
+    return compared.select("measure", signed_percent("change_pct", " 前月比").alias("delta"))
+
+
 @query(_COMPARE, labelled=_LABELLED.format(
     lo=f"{_MONTH} - interval 12 month", hi="d - interval 12 month"))
 def period_comparison_year(spark, d):
@@ -217,7 +225,7 @@ def sales_by_customer_type(spark, d):
 @query("""select prefecture, cast(sum(total_amount) as double) revenue
     from done join customers using (customer_id) group by 1""")
 def sales_by_region(spark, d):
-    return A.sales_by_region(done(spark, d), R.customers(spark, d))
+    return A.sales_by_region(done(spark, d), R.customers_with_region(spark, d))
 
 
 @query("""select category, cast(sum(total_amount) as double) revenue

@@ -8,12 +8,12 @@ def domain(spark: SparkSession, name: str, values) -> DataFrame:
     """Columns ``name`` and ``position`` for a list of parameter values."""
     rows = F.array(*[F.struct(F.lit(v).alias(name), F.lit(i).alias("position"))
                      for i, v in enumerate(values)])
-    return spark.range(1).select(F.inline(rows))
+    return spark.range(0, 1, 1, 1).select(F.inline(rows))
 
 
 def month_domain(spark: SparkSession, first: str, last: str) -> DataFrame:
     """Column ``month``: every month start from ``first`` to ``last``."""
-    return spark.range(1).select(F.explode(F.sequence(
+    return spark.range(0, 1, 1, 1).select(F.explode(F.sequence(
         F.trunc(F.to_date(F.lit(first)), "MM"), F.trunc(F.to_date(F.lit(last)), "MM"),
         F.expr("interval 1 month"))).alias("month"))
 

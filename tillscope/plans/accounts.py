@@ -13,15 +13,17 @@ SORTS = {"last_order": False, "total_amount": False, "order_count": False,
 
 
 def account_lines(orders: DataFrame, customers: DataFrame, months: int = 6,
-                  launch=S.LAUNCH_DATE, corporate: str = S.CORPORATE,
+                  launch=S.LAUNCH_DATE, corporate: str = S.CORPORATE, done: str = S.DONE,
                   latest: Column | None = None) -> DataFrame:
-    """Lines of corporate customers in the trailing period, not before ``launch``.
+    """Completed lines of corporate customers in the trailing period since ``launch``.
 
-    No rows come out when nothing was sold since the launch.
+    ``orders`` holds every status: the period ends at the newest order of any. No rows
+    come out when nothing was sold since the launch.
     """
     recent = trailing_period(orders, "order_date", months, latest, floor=launch)
     accounts = customers.where(F.col("customer_type") == corporate)
-    return recent.join(accounts, "customer_id", "left_semi")
+    return (recent.where(F.col("status") == done)
+            .join(accounts.select("customer_id"), "customer_id", "left_semi"))
 
 
 def account_kpis(lines: DataFrame) -> DataFrame:
