@@ -49,6 +49,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
+def cents(amount: str):
+    """A double holding exact cents as a whole number, cheaper than a decimal cast."""
+    return F.floor(F.col(amount) * 100 + 0.5)
+
+
+def money(amount: str):
+    return cents(amount).cast("decimal(13,0)") * F.lit(Decimal("0.01"))
+
+
 def order_heads(spark, d):
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
@@ -58,13 +67,12 @@ def order_heads(spark, d):
 
 def line_items(spark, d):
     """Lines without their order: enough where no customer or date is asked for."""
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    net = 1 - F.col("l_discount").cast("decimal(4,2)")
+    net = (cents("l_extendedprice") * (100 - cents("l_discount"))).cast("decimal(13,0)")
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).alias("unit_price"),
-        (price * net).alias("total_amount"))
+        (net * F.lit(Decimal("0.0001"))).alias("total_amount"))
 
 
 def order_lines(spark, d):
@@ -119,7 +127,7 @@ def purchases(spark, d):
                     F.col("user_id").alias("customer_id"), F.col("ts").alias("order_date"),
                     (F.col("event_id") * 7 % 200).alias("sku_id"),
                     (1 + F.col("event_id") % 3).alias("quantity"),
-                    F.col("value").cast("decimal(12,2)").alias("total_amount")))
+                    money("value").alias("total_amount")))
 
 
 def visits(spark, d):
@@ -160,7 +168,7 @@ def behavior(spark, d):
 
 def ad_performance(spark, d):
     """Events by day, channel and type as advertising results."""
-    kind, value = F.col("event_type"), F.col("value").cast("decimal(12,2)")
+    kind, value = F.col("event_type"), money("value")
     return (table(spark, d, "events")
             .groupBy(F.col("ts").cast("date").alias("date"),
                      F.concat(F.lit("ch"), (F.col("user_id") % 4).cast("string"))
@@ -235,15 +243,14 @@ def campaigns(spark, d):
 def monthly_expenses(spark, d):
     """Shipped lines by month as a P&L; cost items are fixed shares of rows and pieces."""
     quantity = F.col("l_quantity").cast("int")
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
     sums = (table(spark, d, "lineitem")
             .groupBy(month_start(F.col("l_shipdate").cast("date")).alias("m"))
-            .agg(F.floor(F.sum(price)).cast("long").alias("売上"),
+            .agg(F.sum(cents("l_extendedprice")).alias("cents"),
                  F.sum(quantity).alias("pieces"), F.count("*").alias("lines")))
     return sums.select(
-        F.date_format("m", "yyyy-MM").alias("month"), "売上",
+        F.date_format("m", "yyyy-MM").alias("month"), F.expr("cents div 100").alias("売上"),
         (F.col("pieces") * 900).alias("原価"), (F.col("lines") * 150).alias("広告費"),
         (F.col("pieces") * 20).alias("倉庫代"), (F.col("lines") * 500).alias("外注費"),
         (F.col("pieces") * 35).alias("物流費"),
-        F.floor(F.col("売上") / 50).alias("決済手数料"),
+        F.expr("cents div 5000").alias("決済手数料"),
         F.lit(400000).cast("long").alias("システム費"))
