@@ -125,7 +125,8 @@ def campaigns(spark):
         return (i, f"n{i}", start, end, 10, "割引", "全カテゴリ", 500000, 1234)
     return spark.createDataFrame([
         row("A", D(2026, 1, 10), D(2026, 1, 12)), row("B", D(2026, 1, 12), D(2026, 1, 12)),
-        row("C", D(2025, 1, 1), D(2025, 1, 5))], S.TABLES["campaigns"])
+        row("C", D(2025, 1, 1), D(2025, 1, 5)),
+        row("D", D(2026, 1, 9), D(2026, 1, 8))], S.TABLES["campaigns"])
 
 
 @pytest.fixture(scope="module")
@@ -146,6 +147,7 @@ def test_campaign_lift(january, campaigns):
     assert (a.during_lift_pct, a.after_lift_pct) == ((101 - 40) / 40 * 100, -37.5)
     # One-day campaign: no days before or after, so no lift is stated.
     assert (got["B"].before, got["B"].during, got["B"].after) == (0, 61, 0)
+    assert (got["D"].before, got["D"].during, got["D"].after) == (0, 0, 0)  # ends early
     assert (got["B"].during_lift_pct, got["C"].during, got["C"].after_lift_pct) == (0, 0, 0)
 
 
@@ -164,4 +166,4 @@ def test_campaign_days_and_skus(tables, january, campaigns):
 def test_campaign_list(campaigns):
     assert rows(C.campaign_list(campaigns, "nA")) == [
         ("A", "nA", "2026/01/10", "2026/01/12", 10, "割引", "全カテゴリ", "¥500,000", "¥1,234")]
-    assert C.campaign_list(campaigns).count() == 3
+    assert C.campaign_list(campaigns).count() == 4

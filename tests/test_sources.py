@@ -27,6 +27,18 @@ def test_csv_with_byte_order_mark_and_missing_tables(spark, tmp_path):
         read_table(spark, str(tmp_path), "vendors", "csv")
 
 
+def test_session_dates_with_and_without_time(spark, tmp_path):
+    (tmp_path / "ga_sessions.csv").write_text(
+        ",".join(S.TABLES["ga_sessions"].names)
+        + "\n2026-01-05,c1,個人,DM,True\n2026-01-05 10:30:00,c1,個人,DM,False\n",
+        encoding="utf-8")
+    csv = read_table(spark, str(tmp_path), "ga_sessions", "csv")
+    assert [(r.date.hour, r.is_logged_in) for r in csv.collect()] == [(0, True), (10, False)]
+    dates = csv.limit(1).withColumn("date", F.to_date("date"))
+    dates.write.parquet(str(tmp_path / "ga_sessions.parquet"))
+    assert read_table(spark, str(tmp_path), "ga_sessions").first().date.day == 5
+
+
 def test_parquet_round_trip(spark, tables, tmp_path):
     tables["orders"].write.parquet(str(tmp_path / "ec_orders.parquet"))
     back = read_table(spark, str(tmp_path), "ec_orders")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 def unfold_days(windows: DataFrame, first: Column, last: Column,
                 day: str = "day") -> DataFrame:
-    """One row per window and day from ``first`` to ``last``, both included."""
-    return (windows.where(first <= last)
-            .withColumn(day, F.explode(F.sequence(first, last))))
+    """One row per window and day from ``first`` to ``last``, both included.
+
+    A window without days keeps one row with a NULL day.
+    """
+    return windows.withColumn(day, F.explode_outer(
+        F.when(first <= last, F.sequence(first, last))))

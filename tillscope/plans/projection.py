@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tillscope import schemas as S
 from tillscope.functions.columns import month_label, month_start, yen, zero_if_null
 from tillscope.operators.domains import month_domain
+from tillscope.operators.materialize import materialize
 from tillscope.operators.periods import last_months, latest_date
 from tillscope.plans.ads import mean_monthly_ad_spend, monthly_ad_spend
 from tillscope.plans.sales import monthly_sales
@@ -98,12 +99,12 @@ def fit_trees(indexed: DataFrame, key: str, value: str, add_features, features,
               trees: int, depth: int, seed: int) -> "FittedTrees":
     """Fit one ensemble over all series, each divided by its own mean.
 
-    The rows kept in memory are months by series; the fit reads them once per tree
-    level, and a lost block is computed again from the tables.
+    The training rows, months by series, are written once to the checkpoint folder, so
+    the order table is not read again by each pass of the fit.
     """
-    indexed = indexed.persist()
-    scales = indexed.groupBy(key).agg(F.avg(F.col(value).cast("double")).alias("scale"))
-    train = (add_features(indexed).join(scales, key)
+    frame = materialize(add_features(indexed))
+    scales = frame.groupBy(key).agg(F.avg(F.col(value).cast("double")).alias("scale"))
+    train = (frame.join(scales, key)
              .withColumn("label", F.coalesce(F.try_divide(
                  F.col(value).cast("double"), F.col("scale")), F.lit(0.0))))
     pipeline = Pipeline(stages=[
@@ -112,7 +113,7 @@ def fit_trees(indexed: DataFrame, key: str, value: str, add_features, features,
         VectorAssembler(inputCols=[*features, "__series"], outputCol="features"),
         GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, maxBins=256)])
     model = pipeline.fit(train.select(key, "label", *features))
-    return FittedTrees(model, indexed, scales, key, value)
+    return FittedTrees(model, frame, scales, key, value)
 
 
 def seasonal(history: DataFrame, key: str, value: str, horizon: int) -> DataFrame:
@@ -160,9 +161,9 @@ def seasonal(history: DataFrame, key: str, value: str, horizon: int) -> DataFram
 
 
 class FittedTrees(NamedTuple):
-    """A fitted ensemble with the index of its series and their scales."""
+    """A fitted ensemble with its training rows and the scales of its series."""
     model: PipelineModel
-    indexed: DataFrame
+    frame: DataFrame
     scales: DataFrame
     key: str
     value: str
@@ -188,7 +189,7 @@ def sales_projection(orders: DataFrame, horizon: int = 6, method: str = "trees",
     else:
         fitted = fit_trees(month_index(history, "series"), "series", "sales",
                            month_flags, ["month_num", *MONTH_FLAGS], trees, depth, seed)
-        result = fitted.project(month_flags(future_months(fitted.indexed, "series", horizon)))
+        result = fitted.project(month_flags(future_months(fitted.frame, "series", horizon)))
     return (result.select("month", "month_num", "sales",
                           (F.col("sales") * 0.7).alias("lower"),
                           (F.col("sales") * 1.3).alias("upper")).orderBy("month"))
@@ -208,7 +209,7 @@ class DemandModel(NamedTuple):
     def project(self, horizon: int = 12, plan: DataFrame | None = None) -> DataFrame:
         """Pieces by category and month; months without planned spending get the mean."""
         mean = self.mean_spend.scalar()
-        ahead = month_flags(future_months(self.fitted.indexed, "category", horizon))
+        ahead = month_flags(future_months(self.fitted.frame, "category", horizon))
         ahead = (ahead.withColumn("ad_spend", mean) if plan is None
                  else with_ad_spend(ahead, plan, mean))
         return _whole_pieces(self.fitted.project(ahead))
