@@ -27,6 +27,12 @@ def test_csv_with_byte_order_mark_and_missing_tables(spark, tmp_path):
         read_table(spark, str(tmp_path), "vendors", "csv")
 
 
+def test_money_and_percent_texts(spark):
+    one = spark.range(1)
+    assert rows(one.select(C.yen_short(F.lit(999_999)), C.yen_short(F.lit(1_250_000)),
+                           C.value_percent(F.lit(200.0)))) == [("¥999,999", "¥1.2M", "200.0%")]
+
+
 def test_session_dates_with_and_without_time(spark, tmp_path):
     (tmp_path / "ga_sessions.csv").write_text(
         ",".join(S.TABLES["ga_sessions"].names)

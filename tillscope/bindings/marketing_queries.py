@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tillscope.bindings import roles as R
 from tillscope.bindings.registry import query
 from tillscope.bindings.sales_queries import done
+from tillscope.functions.columns import value_percent, yen_short
 from tillscope.operators.asof import asof_join
 from tillscope.plans import ads as A
 from tillscope.plans import attribution as T
@@ -153,6 +154,18 @@ def ad_channel_summary(spark, d):
     return A.ad_channel_summary(R.ad_performance(spark, d))
 
 
+@query("""select channel,
+    case when revenue >= 1e6 then '¥' || printf('%.1f', round_even(revenue / 1e6, 1)) || 'M'
+         else '¥' || format('{:,}', cast(round_even(revenue, 0) as bigint)) end revenue,
+    printf('%.1f', round_even(revenue / cost * 100, 1)) || '%' roas
+    from (select channel, cast(sum(revenue) as double) revenue,
+                 cast(sum(cost) as double) cost from order_ads group by 1)""")
+def ad_channel_display(spark, d):
+    ads = R.order_ads(spark, d).withColumns({"clicks": F.lit(0), "conversions": F.lit(0)})
+    return A.ad_channel_summary(ads).select("channel", yen_short("revenue").alias("revenue"),
+                                            value_percent("roas_pct").alias("roas"))
+
+
 @query("""select channel, cv_type, cast(sum(conversions) as bigint) conversions from ads
     group by 1, 2""")
 def ad_conversions_by_type(spark, d):

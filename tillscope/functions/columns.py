@@ -73,6 +73,18 @@ def yen(c) -> Column:
     return F.concat(F.lit("¥"), F.format_number(_col(c), 0))
 
 
+def yen_short(c) -> Column:
+    """Millions with one decimal from a million on, whole money below."""
+    amount = _col(c).cast("double")
+    millions = F.format_string("%.1f", F.bround(amount / 1e6, 1))
+    return F.when(amount >= 1e6, F.concat(F.lit("¥"), millions, F.lit("M"))).otherwise(yen(c))
+
+
+def value_percent(c, digits=1) -> Column:
+    """A value already in percent, as text."""
+    return F.concat(F.format_string(f"%.{digits}f", _col(c).cast("double")), F.lit("%"))
+
+
 def percent_text(ratio, digits=2) -> Column:
     pct = F.bround(_col(ratio).cast("double") * 100, digits)  # halves to even
     return F.concat(F.format_string(f"%.{digits}f", pct), F.lit("%"))
