@@ -26,6 +26,14 @@ def test_only_model_fits_lack_sql():
     assert set(E.queries()) - set(E.oracle_sql()) == SLOW
 
 
+def test_plans_have_no_pair_joins_and_no_python(spark):
+    for name in set(E.queries()) - SLOW:
+        df = E.queries()[name](spark, FOLDER)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        for word in ("NestedLoop", "Cartesian", "EvalPython", "InPandas", "ExistingRDD"):
+            assert word not in plan, (name, word)
+
+
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW))
 def test_query_equals_sql(spark, base, name):
     assert compare(base, spark, FOLDER, name) is None

@@ -80,8 +80,9 @@ def test_new_and_repeat(period, done):
 
 
 def test_revenue_tree_and_basket(spark, period):
-    site = spark.createDataFrame([(D(2026, 8, 1), 60, 30, 12, 0.4), (D(2026, 8, 2), 41, 20, 8, 0.6)],
-                                 S.TABLES["ga_behavior"])
+    site = spark.createDataFrame([
+        (D(2026, 8, 1), 60, 30, 12, 0.4), (D(2026, 8, 2), 41, 20, 8, 0.6)],
+        S.TABLES["ga_behavior"])
     tree = {r.flag: r for r in A.revenue_tree(period, site).collect()}
     new, rep = tree[S.NEW], tree[S.REPEAT]
     assert (new.orders, rep.orders, new.customers, rep.customers) == (5, 2, 4, 1)

@@ -12,7 +12,8 @@ from tillscope import schemas as S
 from tillscope.functions.columns import (
     lookup, month_start, percent_change, safe_ratio, sku_label, zero_if_null)
 from tillscope.operators.domains import domain, fill_domain
-from tillscope.operators.periods import latest_date, period_start, trailing_period
+from tillscope.operators.periods import (
+    date_range, latest_date, period_start, trailing_period)
 from tillscope.operators.ranking import top_k
 
 
@@ -66,8 +67,7 @@ def period_comparison(orders: DataFrame, base: str | None = "previous_month",
 
     ``orders`` must be uncut by period, or the base has no rows. ``like_for_like`` cuts
     the base month to the days elapsed in the current one; if not given, the month
-    before is taken whole and last year's month is cut. Only lines of the two windows
-    are read past the filter.
+    before is taken whole and last year's month is cut.
     """
     latest = latest_date(orders, "order_date") if latest is None else latest
     day = F.col("order_date").cast("date")
@@ -80,7 +80,8 @@ def period_comparison(orders: DataFrame, base: str | None = "previous_month",
         start = F.add_months(this, back)
         end = F.add_months(latest, back) if like_for_like else F.last_day(start)
         period = period.when((day >= start) & (day <= end), F.lit("base"))
-    stats = (orders.withColumn("period", period).where(F.col("period").isNotNull())
+    lines = date_range(orders, "order_date", this if back is None else start, latest)
+    stats = (lines.withColumn("period", period).where(F.col("period").isNotNull())
              .groupBy("period").agg(*_kpis(F.count_distinct))
              .withColumn("aov", safe_ratio("revenue", "orders")))
 
