@@ -23,6 +23,15 @@ def test_trailing_period_clamps_month_end_and_snaps(spark):
     assert P.trailing_period(df, "d", 6, floor="2027-01-01").collect() == []
 
 
+def test_period_bounds(spark):
+    df = dated(spark, "2026-02-28", "2026-08-31")
+    assert rows(P.period_bounds(df, "d", 6)) == [(D(2026, 2, 1), D(2026, 8, 31), True)]
+    assert rows(P.period_bounds(df, "d", 6, "2026-06-15")) == [
+        (D(2026, 6, 15), D(2026, 8, 31), True)]
+    assert rows(P.period_bounds(df, "d", 6, "2026-09-01"), "has_rows") == [(False,)]
+    assert rows(P.period_bounds(df.where("false"), "d", 6), "has_rows") == [(False,)]
+
+
 def test_date_range_keeps_both_days_and_time_of_day(spark):
     df = spark.createDataFrame([("2026-01-01 00:00:00",), ("2026-01-02 23:59:59",),
                                 ("2026-01-03 00:00:00",)], "d string")

@@ -10,6 +10,7 @@ from tillscope.bindings.oracle import ratio
 from tillscope.bindings.registry import query
 from tillscope.functions.columns import percent_text, signed_percent, sku_label, yen
 from tillscope.operators.periods import date_range, latest_date, trailing_period
+from tillscope.operators.periods import period_bounds as bounds
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
 
@@ -67,6 +68,13 @@ def data_range(spark, d):
     return A.data_range(R.order_heads(spark, d))
 
 
+@query("""select greatest(cast(date_trunc('month', d - interval 6 month) as date),
+                           date '2001-03-15') first_day, d last_day,
+    d >= date '2001-03-15' has_rows from (select max(order_date) d from heads)""")
+def period_bounds(spark, d):
+    return bounds(R.order_heads(spark, d), "order_date", 6, "2001-03-15")
+
+
 @query("""select cast(sum(total_amount) as double) revenue, count(distinct order_id) orders,
     count(distinct customer_id) customers,
     cast(sum(total_amount) as double) / count(distinct order_id) aov from period""",

@@ -15,6 +15,17 @@ def period_start(latest: Column, months: int, floor=None) -> Column:
     return start if floor is None else F.greatest(start, F.to_date(F.lit(floor)))
 
 
+def period_bounds(df: DataFrame, date: str, months: int, floor=None) -> DataFrame:
+    """First and last day of the trailing period, and whether it holds any rows.
+
+    It holds none when ``floor`` (a launch date) is later than the newest row.
+    """
+    newest = df.agg(F.max(F.col(date).cast("date")).alias("last_day"))
+    start = period_start(F.col("last_day"), months, floor)
+    return newest.select(start.alias("first_day"), "last_day",
+                         F.coalesce(start <= F.col("last_day"), F.lit(False)).alias("has_rows"))
+
+
 def trailing_period(df: DataFrame, date: str, months: int, latest: Column | None = None,
                     floor=None) -> DataFrame:
     """Rows of the last ``months`` months, snapped to a month start.
