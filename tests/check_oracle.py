@@ -12,7 +12,7 @@ import __spark_entry__ as E  # noqa: E402
 from tillscope.session import make_session  # noqa: E402
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-          "events")
+          "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def connect(sf_dir):
