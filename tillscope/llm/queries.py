@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import hyperplanes, mixing, order_minhash, simhash
+from tillscope.llm import hyperplanes, lines, mixing, order_minhash, simhash, urls
 from tillscope.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,70 @@ def op5_embedding_groups(spark, sf_dir):
 def op10_order_minhash(spark, sf_dir):
     """Order-sensitive fingerprints, and their reaction to an edit of half the text."""
     return order_minhash.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"),
+         ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+BLOCKED_GLOBS = ["**casino**", "**/ads/**", "*.xxx/**", "**/login*", "**poker**", "**.zip"]
+
+URL_PARTS = r"""
+  select *, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
+  from pages
+"""
+
+
+@query(f"""
+with parts as ({URL_PARTS}),
+rules(verdict, rule_host, rule_path) as (values {", ".join(map(repr, RULES))}),
+globs(pattern) as (values ('casino'), ('/ads/'), ('^[^/]*\\.xxx/'), ('/login[^/]*$'), ('poker'),
+                          ('\\.zip$')),
+fitting as (
+  select p.page_id, p.host, p.path, r.rule_host || r.rule_path as rule, r.verdict
+  from parts p left join rules r
+    on (p.host = r.rule_host or ends_with(p.host, '.' || r.rule_host))
+   and starts_with(p.path, r.rule_path)
+  qualify row_number() over (partition by p.page_id
+                             order by length(rule) desc nulls last) = 1)
+select page_id, host, path, rule, coalesce(verdict, case when exists (
+         select 1 from globs g where regexp_matches(host || path, g.pattern))
+       then 'block' else 'allow' end) as verdict
+from fitting
+""")
+def op7_url_filter(spark, sf_dir):
+    """Rule and verdict of each page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, RULES, BLOCKED_GLOBS).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query(f"""
+with parts as ({URL_PARTS}),
+split as (
+  select page_id, host, list_filter(list_transform(regexp_split_to_array(regexp_replace(
+           coalesce(html, ''), '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->',
+           '<>', 'gs'), '<[^>]*>'), lambda x: trim(x)), lambda x: x != '') as lines
+  from parts),
+totals as (select host, count(*) as pages from split group by host),
+counts as (
+  select host, line, count(*) as holding
+  from (select host, unnest(list_distinct(lines)) as line from split) group by all),
+bad as (
+  select host, list(line) as bad from counts join totals using (host)
+  where holding >= {lines.LEAST_PAGES} and holding > {lines.RATIO}::double * pages
+  group by host),
+cleaned as (
+  select s.*, list_filter(s.lines, lambda x: not list_contains(coalesce(b.bad, []), x)) as kept
+  from split s left join bad b using (host))
+select page_id, host, len(lines)::int as lines, (len(lines) - len(kept))::int as dropped,
+       array_to_string(kept, chr(10)) as text
+from cleaned
+""")
+def op1_line_dedup(spark, sf_dir):
+    """Page texts without the lines that many pages of their host hold."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", urls.host_of(F.col("url")).alias("host"), "html")
+    out = lines.dropped(pages, lines.lines_of_html(F.col("html")), "host")
+    return out.select("page_id", "host", (F.size("kept") + F.col("dropped")).alias("lines"),
+                      "dropped", F.array_join("kept", "\n").alias("text"))
