@@ -65,3 +65,19 @@ def dropped(pages: DataFrame, lines: Column, host: str, kept: str = "kept",
         F.filter(own, lambda x: ~F.array_contains(F.col(name), F.trim(x))))
     return (out.withColumn(kept, clean)
             .withColumn(count, F.size(own) - F.size(kept)).drop(name, own))
+
+
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", chars: str = "n_chars",
+            **options) -> DataFrame:
+    """``docs`` with boilerplate lines cut out of ``text`` and ``chars`` counted anew.
+
+    Same columns and rows; a text without such lines stays as it is, null included.
+    """
+    kept, count = fresh("kept", docs), fresh("dropped", docs)
+    out = dropped(docs, lines_of_text(F.col(text)), host, kept, count, **options)
+    changed = F.col(count) > 0
+    out = out.withColumn(text, F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text)))
+    if chars in docs.columns:
+        out = out.withColumn(chars, F.when(changed, F.char_length(text).cast("long"))
+                             .otherwise(F.col(chars)))
+    return out.select(*docs.columns)

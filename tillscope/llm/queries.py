@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import hyperplanes, lines, mixing, order_minhash, simhash, urls
-from tillscope.llm.base import table
+from tillscope.llm import (
+    hyperplanes,
+    langid,
+    lines,
+    mixing,
+    order_minhash,
+    packing,
+    rollup,
+    simhash,
+    toxicity,
+    urls,
+)
+from tillscope.llm.base import held_out, shared_folder, table, text_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,3 +170,60 @@ def op1_line_dedup(spark, sf_dir):
     out = lines.dropped(pages, lines.lines_of_html(F.col("html")), "host")
     return out.select("page_id", "host", (F.size("kept") + F.col("dropped")).alias("lines"),
                       "dropped", F.array_join("kept", "\n").alias("text"))
+
+
+@query()
+def op2_retrieval_packing(spark, sf_dir):
+    """Pieces of 1024-token windows that neighbours fill."""
+    out = packing.packed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                      "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op6_token_rollup(spark, sf_dir):
+    """Documents and tokens by source, language and tokenizer version after three batches.
+
+    All documents are inserted with an estimate of four bytes a token (version 0), revised to
+    exact counts (version 1), and exact copies of an earlier document deleted. The middle batch
+    is delivered twice.
+    """
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.sha2(text_of(), 256).alias("content"),
+        F.ceil(F.octet_length(text_of()) / 4).alias("guess"), "text")
+    known = written(rollup.counted(docs))
+    firsts = known.groupBy("content").agg(F.min("doc_id").alias("first"))
+
+    def state(version, tokens):
+        return F.struct("source", "lang", F.lit(f"byte_bpe_50k/{version}").alias("tokenizer"),
+                        F.col(tokens).alias("tokens"))
+    none = F.lit(None)
+    loaded = known.select(none.alias("before"), state(0, "guess").alias("after"))
+    exact = known.select(state(0, "guess").alias("before"), state(1, "tokens").alias("after"))
+    copies = known.join(firsts, "content").filter("doc_id != first").select(
+        state(1, "tokens").alias("before"), none.alias("after"))
+    totals = rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    totals.commit("load", rollup.signed(loaded))
+    totals.commit("count", rollup.signed(exact))
+    totals.commit("count", rollup.signed(exact))
+    totals.commit("copies", rollup.signed(copies))
+    return totals.totals()
+
+
+@query()
+def op8_toxicity(spark, sf_dir):
+    """Toxicity of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op9_language(spark, sf_dir):
+    """Language of each document."""
+    docs = table(spark, sf_dir, "documents")
+    network = langid.fit(docs)
+    return langid.identified(docs.select("doc_id", "text"), network).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
