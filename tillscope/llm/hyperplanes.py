@@ -39,8 +39,9 @@ def _matrix(column) -> np.ndarray:
 
 
 def _signatures(unit: np.ndarray, signs: int, tables: int) -> np.ndarray:
-    planes = np.random.default_rng(SEED).standard_normal((unit.shape[1], signs * tables))
-    bits = (unit @ planes > 0).reshape(len(unit), tables, signs)
+    # by rows, so that fewer tables are the first of more
+    planes = np.random.default_rng(SEED).standard_normal((signs * tables, unit.shape[1]))
+    bits = (unit @ planes.T > 0).reshape(len(unit), tables, signs)
     return bits @ np.left_shift(np.int64(1), np.arange(signs))
 
 

@@ -116,8 +116,8 @@ def thresholds(docs: DataFrame, weigh, share: float = 1.0, most: float = 3.0) ->
         plan.alias("p").join(cut.alias("c"), same, "left")
         .select("p.source", "source_size", "target", "passes",
                 # no crossing: the room is all there is of the source, or there is none
-                F.coalesce("threshold", F.when(F.col("room") > 0, F.lit(1 << 48))
-                           .otherwise(F.lit(0))).alias("threshold")))
+                F.when(F.col("room") > 0, F.coalesce("threshold", F.lit(1 << 48)))
+                .otherwise(F.lit(0)).alias("threshold")))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",

@@ -52,7 +52,7 @@ def _sketch(df: DataFrame, text: str, out: str, k: int, size: int, pick: int) ->
         # the ring: hash of (k-mer, occurrence) above, position below; marks among them
         ("t", f"flatten(transform({r}, (f, i) -> transform(sequence(f, "
               f"coalesce(get({r}, i + 1), {n}) - 1), j -> shiftleft(shiftright(xxhash64("
-              f"shiftright({s}[j], {b}), j - f), {b}), {b}) + ({s}[j] & {low}))))"),
+              f"{a}[cast({s}[j] & {low} as int)], j - f), {b}), {b}) + ({s}[j] & {low}))))"),
         ("m", f"transform(sequence(0, {size - 1}), i -> shiftleft(shiftright((i - {size // 2}) * "
               f"{2 ** 64 // size}L, {b}), {b}) + {n} + i)"),
         ("t", f"sort_array(concat({t}, {m}))"),
