@@ -91,10 +91,11 @@ def exact_tables(bits: int, distance: int, rows: int) -> list[np.ndarray]:
     """Bit positions of each key table; pairs within ``distance`` agree on one table at least.
 
     ``distance`` bits spoil as many blocks at most, so of b blocks b - ``distance`` agree.
-    More blocks give longer keys and more tables; the fewest that keep buckets small.
+    More blocks give longer keys and more tables; the fewest that keep buckets small, but two
+    shared blocks at least, so that the rows made per fingerprint stay the same up to 2**24.
     """
     wanted = min(48.0, math.log2(max(rows, 2) / BUCKET))
-    for b in range(distance + 1, distance + 6):
+    for b in range(distance + 2, distance + 6):
         parts = np.array_split(np.arange(bits), b)
         choices = list(combinations(range(b), b - distance))
         shortest = min(sum(len(parts[i]) for i in c) for c in choices)
