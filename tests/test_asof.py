@@ -1,11 +1,11 @@
-"""The as-of join against a brute-force answer, with and without hot keys."""
+"""The as-of join against a brute-force answer."""
 
 import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from tillscope.operators.asof import asof_join, hot_keys
+from tillscope.operators.asof import asof_join
 
 LEFT = "id int, k string, at timestamp_ntz, v int"
 RIGHT = "k string, seen timestamp_ntz, tie int, channel string"
@@ -28,10 +28,9 @@ def run(spark, left, right, **options):
     return sorted(tuple(r) for r in got.collect())
 
 
-@pytest.mark.parametrize("hot_rows", [10_000, 5, 0])
-@pytest.mark.parametrize("minutes", [1, 60, 7])
-def test_matches_brute_force(spark, hot_rows, minutes):
-    rng = random.Random(hot_rows * 100 + minutes)
+@pytest.mark.parametrize("minutes", [1, 60, 7, 1440])
+def test_matches_brute_force(spark, minutes):
+    rng = random.Random(minutes)
     start = datetime(1969, 12, 31, 20, 0)  # slices before and after 1970
 
     def when():
@@ -41,8 +40,8 @@ def test_matches_brute_force(spark, hot_rows, minutes):
     left += [(500, "hot", None, 0)]
     right = [(rng.choice(keys + [None]), when(), i, rng.choice(["x", "y", None]))
              for i in range(90)]
-    assert run(spark, left, right, hot_rows=hot_rows,
-               slice_minutes=minutes) == brute(left, right)
+    right += [("hot", None, 99, "x")]
+    assert run(spark, left, right, slice_minutes=minutes) == brute(left, right)
 
 
 def test_exact_hit_tie_and_null_channel(spark):
@@ -51,8 +50,8 @@ def test_exact_hit_tie_and_null_channel(spark):
             (4, "a", t + timedelta(days=40), 0)]
     right = [("a", t, 1, "first"), ("a", t, 2, "second"),
              ("a", t + timedelta(days=1), 0, None)]
-    for hot_rows in (100, 0):
-        assert [r[4] for r in run(spark, left, right, hot_rows=hot_rows)] == [
+    for minutes in (1, 1440):
+        assert [r[4] for r in run(spark, left, right, slice_minutes=minutes)] == [
             "second", None, None, None]
 
 
@@ -66,23 +65,22 @@ def test_date_columns(spark):
     assert sorted((r.id, r.channel) for r in got.collect()) == [(1, "x"), (2, None)]
 
 
-def test_hot_keys_count_both_sides(spark):
-    a = spark.createDataFrame([("x",), ("x",), ("y",), (None,), (None,), (None,)], "k string")
-    b = spark.createDataFrame([("x",)], "k string")
-    assert [r.k for r in hot_keys([a, b], "k", 2).collect()] == ["x"]
-
-
-def test_usual_plan_has_one_shuffle(spark):
+def test_building_runs_no_job_and_null_keys_skip_the_join(spark):
     left = spark.createDataFrame([(1, "a", datetime(2026, 1, 1), 0)], LEFT)
     right = spark.createDataFrame([("a", datetime(2026, 1, 1), 0, "x")], RIGHT)
+    context = spark.sparkContext
+    context.setJobGroup("building", "as-of join")
     joined = asof_join(left, right, "k", "at", "seen", ["channel"], tie=["tie"])
     plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert not context.statusTracker().getJobIdsForGroup("building")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert "NestedLoop" not in plan and "Broadcast" not in plan.split("Union")[0]
+    assert "isnotnull(k" in plan
 
 
 def test_many_rows_at_one_instant(spark):
     t = datetime(2026, 1, 5, 9)
     left = [(i, "a", t, i) for i in range(200)] + [(900, "b", t, 0), (901, None, t, 0)]
     right = [("a", t, i, f"c{i}") for i in range(100)]
-    got = run(spark, left, right, hot_rows=50)
+    got = run(spark, left, right)
     assert got == brute(left, right) and len(got) == 202

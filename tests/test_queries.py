@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.check_oracle import compare, connect
+from tillscope.bindings.registry import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"sales_projection_trees", "demand_projection_trees"}  # fits with 100 trees
@@ -23,17 +24,17 @@ def test_entry(spark):
 
 
 def test_only_model_fits_lack_sql():
-    assert set(E.queries()) - set(E.oracle_sql()) == SLOW
+    assert set(QUERIES) - set(ORACLE) == SLOW
 
 
 def test_plans_have_no_pair_joins_and_no_python(spark):
-    for name in set(E.queries()) - SLOW:
-        df = E.queries()[name](spark, FOLDER)
+    for name in set(QUERIES) - SLOW:
+        df = QUERIES[name](spark, FOLDER)
         plan = df._jdf.queryExecution().executedPlan().toString()
         for word in ("NestedLoop", "Cartesian", "EvalPython", "InPandas", "ExistingRDD"):
             assert word not in plan, (name, word)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query_equals_sql(spark, base, name):
     assert compare(base, spark, FOLDER, name) is None

@@ -27,6 +27,40 @@ def test_csv_with_byte_order_mark_and_missing_tables(spark, tmp_path):
         read_table(spark, str(tmp_path), "vendors", "csv")
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "ec_orders.csv"
+    names = S.TABLES["ec_orders"].names
+    values = dict(order_id="o1", customer_id="c1", product_id="P", sku_id="s1", status="完了",
+                  order_date="2026-01-05", quantity="2", unit_price="100", total_amount="200")
+
+    def read(order, **changed):
+        row = {**values, **changed}
+        path.write_text("\ufeff" + ",".join(order) + "\n"
+                        + ",".join(row.get(c, "x") for c in order) + "\n", encoding="utf-8")
+        return read_table(spark, str(tmp_path), "ec_orders", "csv")
+    for order in (names[::-1], ["note", *names[3:], *names[:3], "more"]):
+        got = read(order)
+        assert got.columns == names
+        row = got.first()
+        assert (row.order_id, row.order_date, row.total_amount) == ("o1", D(2026, 1, 5), 200)
+    with pytest.raises(ValueError, match="order_date"):
+        read([c for c in names if c != "order_date"])
+    for bad in (dict(order_date="yesterday"), dict(quantity="two")):
+        with pytest.raises(Exception, match="MALFORMED|FAILFAST|parse|CAST"):
+            read(names, **bad).collect()
+
+
+def test_absent_optional_tables(spark, tables):
+    from tillscope.plans import ads, attribution
+
+    plan = ads.ad_plan_adjusted(None, {"DM": 2.0})
+    assert plan.count() == 0
+    assert ads.ad_plan_monthly(plan).count() == 0
+    assert ads.ad_plan_total(plan).count() == 1
+    assert ads.ad_plan_matrix(plan, ["2026-01"]).count() == 0
+    assert attribution.sales_by_channel(tables["orders"], None).count() == 0
+
+
 def test_money_and_percent_texts(spark):
     one = spark.range(1)
     assert rows(one.select(C.yen_short(F.lit(999_999)), C.yen_short(F.lit(1_250_000)),

@@ -33,7 +33,7 @@ def channel_buckets(spark, d):
 def asof_last_touch(spark, d):
     orders = R.purchases(spark, d).select("order_id", "customer_id", "order_date")
     return asof_join(orders, R.touches(spark, d), "customer_id", "order_date", "date",
-                     ["channel"], tie=TIE, hot=R.hot_users(spark, d))
+                     ["channel"], tie=TIE)
 
 
 @query("""select order_id, sku_id, customer_id, order_date, quantity, channel
@@ -42,12 +42,12 @@ def asof_last_visit(spark, d):
     orders = done(spark, d).select("order_id", "sku_id", "customer_id", "order_date",
                                    "quantity")
     return asof_join(orders, R.visits(spark, d), "customer_id", "order_date", "date",
-                     ["channel"], tie=TIE, hot=R.hot_buyers(spark, d))
+                     ["channel"], tie=TIE)
 
 
 def _by_channel(spark, d):
     return T.sales_by_channel(R.purchases(spark, d), R.touches(spark, d), R.EVENT_BUCKETS,
-                              "direct", TIE, R.hot_users(spark, d))
+                              "direct", TIE)
 
 
 @query(f"""select {_EVENT_BUCKET} channel, cast(sum(total_amount) as double) revenue
@@ -68,7 +68,7 @@ def channel_shares(spark, d):
     from visited group by 1""")
 def sales_by_channel_visits(spark, d):
     return T.sales_by_channel(done(spark, d), R.visits(spark, d), R.VISIT_BUCKETS,
-                              "direct", TIE, R.hot_buyers(spark, d))
+                              "direct", TIE)
 
 
 _TOP = "order by {0} desc, sku_id limit 15"
@@ -98,38 +98,34 @@ def _visit_side(spark, d):
 
 @query(_REVENUE.format("touched", _EVENT_ADS))
 def ad_attributed_sku_revenue(spark, d):
-    return T.ad_attributed_sku_revenue(*_event_side(spark, d), R.EVENT_ADS, tie=TIE,
-                                        hot=R.hot_users(spark, d))
+    return T.ad_attributed_sku_revenue(*_event_side(spark, d), R.EVENT_ADS, tie=TIE)
 
 
 @query(_REVENUE.format("visited", _VISIT_ADS))
 def ad_attributed_sku_revenue_visits(spark, d):
-    return T.ad_attributed_sku_revenue(*_visit_side(spark, d), R.VISIT_ADS, tie=TIE,
-                                        hot=R.hot_buyers(spark, d))
+    return T.ad_attributed_sku_revenue(*_visit_side(spark, d), R.VISIT_ADS, tie=TIE)
 
 
 @query(_PROFIT.format("touched", _EVENT_ADS))
 def ad_attributed_sku_profit(spark, d):
-    return T.ad_attributed_sku_profit(*_event_side(spark, d), R.EVENT_ADS, tie=TIE,
-                                       hot=R.hot_users(spark, d))
+    return T.ad_attributed_sku_profit(*_event_side(spark, d), R.EVENT_ADS, tie=TIE)
 
 
 @query(_PROFIT.format("visited", _VISIT_ADS))
 def ad_attributed_sku_profit_visits(spark, d):
-    return T.ad_attributed_sku_profit(*_visit_side(spark, d), R.VISIT_ADS, tie=TIE,
-                                       hot=R.hot_buyers(spark, d))
+    return T.ad_attributed_sku_profit(*_visit_side(spark, d), R.VISIT_ADS, tie=TIE)
 
 
 @query(_MONTHLY.format("touched", _EVENT_ADS, "ads", "double"))
 def ad_cost_vs_profit_monthly(spark, d):
     return T.ad_cost_vs_profit_monthly(*_event_side(spark, d), R.ad_performance(spark, d),
-                                       R.EVENT_ADS, TIE, R.hot_users(spark, d))
+                                       R.EVENT_ADS, TIE)
 
 
 @query(_MONTHLY.format("visited", _VISIT_ADS, "order_ads", "bigint"))
 def ad_cost_vs_profit_monthly_visits(spark, d):
     return T.ad_cost_vs_profit_monthly(*_visit_side(spark, d), R.order_ads(spark, d),
-                                       R.VISIT_ADS, TIE, R.hot_buyers(spark, d))
+                                       R.VISIT_ADS, TIE)
 
 
 # ── advertising ─────────────────────────────────────────────────────────────

@@ -16,6 +16,7 @@ from tillscope.plans import pl as L
 from tillscope.plans import projection as P
 from tillscope.plans import replenishment as Z
 from tillscope.plans import sales as S
+from tillscope.schemas import COST_ITEMS as COSTS
 from tillscope.schemas import CORPORATE_PREFIXES, CORPORATE_STEMS, SHIPPING_WAREHOUSE
 
 LAUNCH = "2000-10-15"
@@ -24,7 +25,6 @@ PL_MONTHS = [f"2000-{m:02d}" for m in range(1, 13)]
 AHEAD_LABELS = ["2001/09", "2001/10", "2001/11", "2001/12", "2002/01", "2002/02"]
 TABLE_LABELS = ["2001/02", "2001/03", "2001/04", "2001/05", "2001/06", "2001/07",
                 "2001/08", *AHEAD_LABELS]
-COSTS = ("原価", "倉庫代", "外注費", "物流費", "決済手数料", "システム費")
 
 
 # ── inventory ───────────────────────────────────────────────────────────────
@@ -61,14 +61,16 @@ def inventory_flow_shipping(spark, d):
     from inventory join products using (sku_id)
     where date >= (select max(date) from inventory) - interval 5 month group by 1""")
 def inventory_turnover(spark, d):
-    return I.inventory_turnover(R.inventory(spark, d), R.products(spark, d),
-                                latest=R.ship_month(spark, d))
+    newest = R.ship_month(spark, d)
+    return I.inventory_turnover(R.inventory(spark, d, since=F.add_months(newest, -5)),
+                                R.products(spark, d), latest=newest)
 
 
 @query("""select warehouse_type, count(*) n, cast(sum(stock_quantity) as bigint) stock
     from inventory where date = (select max(date) from inventory) group by 1""")
 def latest_stock(spark, d):
-    return (latest_snapshot(R.inventory(spark, d), "date", R.ship_month(spark, d))
+    newest = R.ship_month(spark, d)
+    return (latest_snapshot(R.inventory(spark, d, since=newest), "date", newest)
             .groupBy("warehouse_type")
             .agg(F.count("*").alias("n"), F.sum("stock_quantity").alias("stock")))
 
@@ -79,8 +81,17 @@ def latest_stock(spark, d):
       and stock_quantity < 15
     order by stock_quantity, sku_id, warehouse_name limit 15""")
 def low_stock(spark, d):
-    return I.low_stock(R.inventory(spark, d), R.products(spark, d),
-                       latest=R.ship_month(spark, d))
+    newest = R.ship_month(spark, d)
+    return I.low_stock(R.inventory(spark, d, since=newest), R.products(spark, d),
+                       latest=newest)
+
+
+@query("""select count(*) low_stock from inventory
+    where date = (select max(date) from inventory) and warehouse_type = '発送倉庫'
+      and stock_quantity < 15""")
+def low_stock_count(spark, d):
+    newest = R.ship_month(spark, d)
+    return I.low_stock_count(R.inventory(spark, d, since=newest), latest=newest)
 
 
 # ── profit and loss ─────────────────────────────────────────────────────────

@@ -34,7 +34,7 @@ _ROLES = {
         select t.*, customer_type from touches t left join customers using (customer_id)""",
     "purchases": """
         select event_id order_id, user_id customer_id, ts order_date,
-               event_id * 7 % 200 sku_id, 1 + event_id % 3 quantity,
+               event_id * 7 % (select count(*) from part) sku_id, 1 + event_id % 3 quantity,
                cast(value as decimal(12,2)) total_amount
         from events where event_type = 'purchase'""",
     "touched": """

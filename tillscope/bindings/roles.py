@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.functions.columns import month_start
-from tillscope.operators.asof import HOT_ROWS, hot_keys
 from tillscope.sources.tables import rename_warehouses
 
 DONE = "F"
@@ -122,10 +121,11 @@ def touches(spark, d):
 
 def purchases(spark, d):
     """Purchase events as order lines; SKU and quantity are arithmetic on the id."""
+    parts = table(spark, d, "part").agg(F.count("*")).scalar()
     return (table(spark, d, "events").where(F.col("event_type") == "purchase")
             .select(F.col("event_id").alias("order_id"),
                     F.col("user_id").alias("customer_id"), F.col("ts").alias("order_date"),
-                    (F.col("event_id") * 7 % 200).alias("sku_id"),
+                    (F.col("event_id") * 7 % parts).alias("sku_id"),
                     (1 + F.col("event_id") % 3).alias("quantity"),
                     money("value").alias("total_amount")))
 
@@ -144,16 +144,6 @@ def visits_with_type(spark, d):
     return visits(spark, d).join(customers(spark, d), "customer_id", "left")
 
 
-def hot_buyers(spark, d):
-    """Customers with very many orders, counted without the lines."""
-    return hot_keys([order_heads(spark, d)], "customer_id", HOT_ROWS // 4)
-
-
-def hot_users(spark, d):
-    return hot_keys([table(spark, d, "events").select(F.col("user_id").alias("customer_id"))],
-                    "customer_id")
-
-
 def behavior(spark, d):
     """Daily site totals, derived from the orders of each day."""
     key = F.col("o_orderkey")
@@ -197,14 +187,20 @@ def ad_plan(spark, d):
             .agg(F.sum(F.floor(F.col("o_totalprice") / 25)).alias("planned_cost")))
 
 
-def inventory(spark, d, grain="MM"):
-    """Shipped lines as stock movements by period, SKU and warehouse."""
+def inventory(spark, d, grain="MM", since=None):
+    """Shipped lines as stock movements by period, SKU and warehouse.
+
+    ``since``, the first day of a period, keeps older lines from being read.
+    """
     day = F.col("l_shipdate").cast("date")
     quantity = F.col("l_quantity").cast("int")
     returned = F.col("l_returnflag") == "R"
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     date = F.trunc(day, grain)
-    moved = (table(spark, d, "lineitem").groupBy(date.alias("date"), part, supp)
+    lines = table(spark, d, "lineitem")
+    if since is not None:
+        lines = lines.where(F.col("l_shipdate") >= since.cast("timestamp_ntz"))
+    moved = (lines.groupBy(date.alias("date"), part, supp)
              .agg(F.sum(F.when(returned, quantity).otherwise(0)).alias("inbound"),
                   F.sum(F.when(returned, 0).otherwise(quantity)).alias("outbound")))
     kind = F.when(supp % 2 == 0, "発送倉庫").otherwise("マザー倉庫")

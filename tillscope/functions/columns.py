@@ -57,7 +57,8 @@ def sku_label(name="product_name", color="color", size="size", sku="sku_id") ->
                     F.lit("）"))
 
 
-def account_name(customer_id) -> Column:
+def account_name(customer_id, prefixes=S.CORPORATE_PREFIXES,
+                 stems=S.CORPORATE_STEMS) -> Column:
     """Stable display name of an account, chosen by the code points of its id."""
     chars = F.split(_col(customer_id).cast("string"), "")
     points = F.aggregate(chars, F.lit(0), lambda total, c: total + F.ascii(c))
@@ -66,7 +67,7 @@ def account_name(customer_id) -> Column:
         at = (points % F.lit(len(words)) + F.lit(1)).cast("int")
         return F.element_at(F.array(*map(F.lit, words)), at)
 
-    return F.concat(pick(S.CORPORATE_PREFIXES), pick(S.CORPORATE_STEMS))
+    return F.concat(pick(prefixes), pick(stems))
 
 
 def yen(c) -> Column:

@@ -1,100 +1,57 @@
 """Backward as-of join by key: the latest right row at or before each left row.
 
-Both sides are unioned and a running maximum picks the touch, so no pairs are made
-and every row is shuffled once. A key with very many rows would put one window group
-on one task. Such keys go another way: their rows are reduced to distinct times, the
-times are cut into slices, and the last touch before a slice is carried into it as a
-seed row, which keeps the answer exact.
+One lazy plan serves all keys. Both sides are reduced to distinct (key, time); the times of
+a key are cut into slices, and the last touch before a slice is carried into it. So no key,
+however many rows it has, puts its whole history on one task, and no pairs are made. The
+answer goes back to the left rows by an equality join on key and time; left rows without
+key or time bypass it.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000
-NULL_KEY_GROUPS = 4096
-
-
-def hot_keys(sides, by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows over all ``sides``.
-
-    There are at most (rows / hot_rows) of them, 200,000 for a trillion rows, which
-    is what makes broadcasting this list safe.
-    """
-    keys = reduce(DataFrame.unionAll, [side.select(by) for side in sides])
-    return (keys.where(F.col(by).isNotNull()).groupBy(by).count()
-            .where(F.col("count") > hot_rows).select(by))
+SLICE_MINUTES = 1440
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str,
-              payload, tie=(), hot: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-              slice_minutes: int = 1) -> DataFrame:
+              payload, tie=(), slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """``left`` plus the ``payload`` columns of its latest earlier ``right`` row.
 
     Equal times match. Right rows at one instant are ordered by ``tie``. Left rows
     without key, time or earlier touch keep NULLs; a touch whose payload is NULL still
-    counts as the touch.
-
-    ``hot`` lists the keys to cut into slices of ``slice_minutes``; without it they are
-    counted on both sides. Whether there are any is asked when the join is built, so
-    that the usual plan, without hot keys, is one shuffle and nothing else.
+    counts as the touch. ``slice_minutes`` bounds the time that one window group spans.
     """
     columns, payload = left.columns, list(payload)
-    hot = hot_keys([left, right], by, hot_rows) if hot is None else hot
     rows = left.withColumn("__at", F.col(left_on).cast("timestamp_ntz"))
+    known = F.col(by).isNotNull() & F.col("__at").isNotNull()
     touches = (right.where(F.col(by).isNotNull() & F.col(right_on).isNotNull())
                .withColumn("__at", F.col(right_on).cast("timestamp_ntz"))
                .select(by, "__at", F.struct("__at", *tie, *payload).alias("__touch")))
-    # Rows without a key meet no touch; a hash spreads them over many groups.
-    spread = F.when(F.col(by).isNull(), F.pmod(F.xxhash64(*columns), F.lit(NULL_KEY_GROUPS)))
-    no_group = F.lit(None).cast("long")
-
-    def usual(rows, touches):
-        return _running(rows.withColumn("__group", spread),
-                        touches.withColumn("__group", no_group), by)
-    if hot.isEmpty():
-        found = usual(rows, touches)
-    else:
-        def part(df, how):
-            return df.join(F.broadcast(hot), by, how)
-        found = usual(part(rows, "left_anti"), part(touches, "left_anti")).unionByName(
-            _sliced(part(rows, "left_semi"), part(touches, "left_semi"), by, slice_minutes))
-    return found.select(*columns, *[F.col(f"__found.{c}").alias(c) for c in payload])
-
+    times = rows.where(known).select(by, "__at").distinct()
+    found = _latest(times, touches, by, slice_minutes)
+    met = rows.where(known).join(found, [by, "__at"], "left")
+    no_touch = F.lit(None).cast(found.schema["__found"].dataType).alias("__found")
+    unmet = rows.where(~known).select("*", no_touch)
+    return (met.unionByName(unmet)
+            .select(*columns, *[F.col(f"__found.{c}").alias(c) for c in payload]))
 
-def _running(rows, touches, by):
-    """``rows`` with ``__found``, the largest touch so far within key and group."""
-    both = (rows.withColumn("__side", F.lit(1))
-            .unionByName(touches.withColumn("__side", F.lit(0)), allowMissingColumns=True))
-    # Within one instant touches come first, then the rows that may use them.
-    upto = (Window.partitionBy(by, "__group").orderBy("__at", "__side")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (both.withColumn("__found", F.max("__touch").over(upto))
-            .where(F.col("__side") == 1).drop("__side", "__touch", "__group"))
-
-
-def _sliced(rows, touches, by, slice_minutes):
-    """The same for hot keys, on distinct times; rows get their answer by a join.
 
-    In that join a time occurs once on the found side, so a time shared by very many
-    rows can be split by the adaptive skew join.
-    """
+def _latest(times, touches, by, slice_minutes):
+    """``times`` with ``__found``, the largest touch of the key at or before each."""
     # Date, hour and minute of a zone-less timestamp: no time zone shift can reorder it.
     minutes = F.expr("unix_date(to_date(__at)) * 1440L + hour(__at) * 60 + minute(__at)")
-    group = F.floor(minutes / slice_minutes)
-    times = (rows.select(by, "__at").where(F.col("__at").isNotNull()).distinct()
-             .withColumn("__group", group))
-    last = (touches.groupBy(by, "__at").agg(F.max("__touch").alias("__touch"))
-            .withColumn("__group", group))
-
-    slices = (last.groupBy(by, "__group").agg(F.max("__touch").alias("__touch"))
-              .unionByName(times.select(by, "__group"), allowMissingColumns=True)
-              .groupBy(by, "__group").agg(F.max("__touch").alias("__touch")))
-    before = (Window.partitionBy(by).orderBy("__group")
+    both = (times.withColumn("__asked", F.lit(True))
+            .unionByName(touches.withColumn("__asked", F.lit(False)), allowMissingColumns=True)
+            .withColumn("__slice", F.floor(minutes / slice_minutes))
+            .repartition(by, "__slice")  # serves all that follows within a slice
+            .groupBy(by, "__slice", "__at")
+            .agg(F.max("__touch").alias("__touch"), F.max("__asked").alias("__asked")))
+    before = (Window.partitionBy(by).orderBy("__slice")
               .rowsBetween(Window.unboundedPreceding, -1))
-    seeds = (slices.withColumn("__touch", F.max("__touch").over(before))
-             .where(F.col("__touch").isNotNull())
-             .withColumn("__at", F.col("__touch.__at")))
-    found = _running(times, last.unionByName(seeds), by)
-    return rows.join(found, [by, "__at"], "left")
+    seeds = (both.groupBy(by, "__slice").agg(F.max("__touch").alias("__last"))
+             .select(by, "__slice", F.max("__last").over(before).alias("__seed")))
+    upto = (Window.partitionBy(by, "__slice").orderBy("__at")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (both.withColumn("__found", F.max("__touch").over(upto))
+            .where("__asked").join(seeds, [by, "__slice"])
+            .select(by, "__at", F.coalesce("__found", "__seed").alias("__found")))

@@ -1,24 +1,18 @@
-"""Writing a small intermediate result once, for work that reads it many times."""
-
-import tempfile
+"""Keeping a small intermediate result, for work that reads it many times."""
 
 from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there.
+    """``df`` written to the session's ``spark.checkpoint.dir`` and read from there.
 
-    Unlike a cache it is not computed again when an executor is lost, nor served for a
-    later reading of changed files. The folder is the session's ``spark.checkpoint.dir``;
-    a local session without one gets a temporary folder.
+    Unlike a cache it is not computed again when an executor is lost. A session without
+    that folder caches the rows instead; ``unpersist`` releases them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tillscope-")
+            return df.persist()
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tillscope import schemas as S
 from tillscope.functions.columns import account_name, safe_ratio, zero_if_null
 from tillscope.operators.periods import trailing_period
+from tillscope.plans.sales import exact_kpis
 
 # Sort choices: column and whether it ascends.
 SORTS = {"last_order": False, "total_amount": False, "order_count": False,
@@ -27,9 +28,7 @@ def account_lines(orders: DataFrame, customers: DataFrame, months: int = 6,
 
 
 def account_kpis(lines: DataFrame) -> DataFrame:
-    return (lines.agg(F.count_distinct("customer_id").alias("accounts"),
-                      zero_if_null(F.sum("total_amount")).alias("revenue"),
-                      F.count_distinct("order_id").alias("orders"))
+    return (exact_kpis(lines).withColumnRenamed("customers", "accounts")
             .withColumn("revenue_per_account", safe_ratio("revenue", "accounts"))
             .withColumn("orders_per_account", safe_ratio("orders", "accounts")))
 

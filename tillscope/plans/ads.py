@@ -1,11 +1,12 @@
 """Advertising results by channel and month, and the adjustable spending plan."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.functions.columns import (
     lookup, month_from_label, month_label, month_start, open_ratio, safe_ratio,
     zero_if_null)
+from tillscope.sources.tables import empty
 
 
 def monthly_ad_spend(ads: DataFrame) -> DataFrame:
@@ -46,13 +47,16 @@ def ad_monthly_cost_revenue(ads: DataFrame) -> DataFrame:
             .orderBy("month"))
 
 
-def ad_plan_adjusted(plan: DataFrame, multipliers: dict | None = None,
+def ad_plan_adjusted(plan: DataFrame | None, multipliers: dict | None = None,
                      months: DataFrame | None = None) -> DataFrame:
     """Plan rows with the cost after a factor per channel, cut to whole money.
 
     Channels without a factor stay as planned. ``months`` (a ``month`` DATE column)
-    keeps only those months.
+    keeps only those months. Without a plan there are no rows.
     """
+    if plan is None:
+        return empty(SparkSession.active(), "month string, channel string, objective string, "
+                     "planned_cost long, month_start date, adjusted_cost long")
     dated = plan.withColumn("month_start", month_from_label("month"))
     if months is not None:
         keep = months.select(F.col("month").alias("month_start"))

@@ -25,14 +25,23 @@ def campaign_days(campaigns: DataFrame) -> DataFrame:
     return days.withColumn("phase", phase)
 
 
-def daily_sales(orders: DataFrame, *keys) -> DataFrame:
-    return (orders.groupBy(F.col("order_date").alias("day"), *keys)
-            .agg(F.sum("total_amount").alias("amount")))
+def daily_sales(orders: DataFrame, days: DataFrame, *keys) -> DataFrame:
+    """Sales by day and ``keys`` on the given ``day`` rows; order dates may have a time.
+
+    The first and last day bound the scan, and other days leave before they are summed.
+    """
+    at = F.col("order_date")
+    first, last = (days.agg(f("day")).scalar() for f in (F.min, F.max))
+    inside = (orders.where((at >= first) & (at < F.date_add(last, 1)))
+              .withColumn("day", at.cast("date")))
+    return (inside.join(days.select("day").distinct(), "day", "left_semi")
+            .groupBy("day", *keys).agg(F.sum("total_amount").alias("amount")))
 
 
 def campaign_lift(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Sales of the three phases and the change in percent, 0 if nothing sold before."""
-    joined = campaign_days(campaigns).join(daily_sales(orders), "day", "left")
+    days = campaign_days(campaigns)
+    joined = days.join(daily_sales(orders, days), "day", "left")
     sums = joined.groupBy(*KEYS).agg(*[
         zero_if_null(F.sum(F.when(F.col("phase") == p, F.col("amount")))).alias(p)
         for p in ("before", "during", "after")])
@@ -45,8 +54,8 @@ def campaign_lift(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 def campaign_daily_sales(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Sales by campaign and day over all three phases, days with sales only."""
-    return (campaign_days(campaigns).select("campaign_id", "day", "phase")
-            .join(daily_sales(orders), "day")
+    days = campaign_days(campaigns)
+    return (days.select("campaign_id", "day", "phase").join(daily_sales(orders, days), "day")
             .select("campaign_id", "day", "phase", zero_if_null("amount").alias("amount"))
             .orderBy("campaign_id", "day"))
 
@@ -56,7 +65,8 @@ def campaign_sku_ranking(orders: DataFrame, campaigns: DataFrame, products: Data
     """Best SKUs of each campaign while it ran."""
     during = unfold_days(campaigns.select(*KEYS), F.col("start_date"), F.col("end_date"))
     sold = (during.select("campaign_id", "day")
-            .join(daily_sales(orders.where(F.col("sku_id").isNotNull()), "sku_id"), "day")
+            .join(daily_sales(orders.where(F.col("sku_id").isNotNull()), during, "sku_id"),
+                  "day")
             .groupBy("campaign_id", "sku_id")
             .agg(zero_if_null(F.sum("amount")).alias("revenue")))
     labels = products.select("sku_id", sku_label().alias("label")).dropna()

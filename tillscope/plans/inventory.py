@@ -53,13 +53,24 @@ def inventory_turnover(inventory: DataFrame, products: DataFrame,
             .orderBy("category"))
 
 
+def _scarce(inventory, warehouse_type, below, latest):
+    newest = latest_snapshot(inventory, "date", latest)
+    return (of_warehouse(newest, warehouse_type)
+            .where(F.col("stock_quantity") < below))
+
+
+def low_stock_count(inventory: DataFrame, warehouse_type: str = S.SHIPPING_WAREHOUSE,
+                    below: int = 15, latest: Column | None = None) -> DataFrame:
+    """How many rows of the newest snapshot are scarce, listed or not."""
+    return _scarce(inventory, warehouse_type, below, latest).agg(
+        F.count("*").alias("low_stock"))
+
+
 def low_stock(inventory: DataFrame, products: DataFrame,
               warehouse_type: str = S.SHIPPING_WAREHOUSE, below: int = 15,
               k: int | None = 15, latest: Column | None = None) -> DataFrame:
     """Scarcest stock of the newest snapshot in one kind of warehouse."""
-    newest = latest_snapshot(inventory, "date", latest)
-    scarce = (of_warehouse(newest, warehouse_type)
-              .where(F.col("stock_quantity") < below)
+    scarce = (_scarce(inventory, warehouse_type, below, latest)
               .select("sku_id", "warehouse_name", "stock_quantity"))
     details = products.select("sku_id", "product_name", "category", "color", "size")
     order = ("sku_id", "warehouse_name")

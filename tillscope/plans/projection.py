@@ -113,6 +113,7 @@ def fit_trees(indexed: DataFrame, key: str, value: str, add_features, features,
         VectorAssembler(inputCols=[*features, "__series"], outputCol="features"),
         GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, maxBins=256)])
     model = pipeline.fit(train.select(key, "label", *features))
+    frame.unpersist()
     return FittedTrees(model, frame, scales, key, value)
 
 

@@ -37,10 +37,25 @@ def revenue_kpis(orders: DataFrame, rsd: float | None = None) -> DataFrame:
 
     Counts are exact; with ``rsd`` they are estimates with that relative error.
     """
-    distinct = (F.count_distinct if rsd is None
-                else lambda c: F.approx_count_distinct(c, rsd))
-    return (orders.agg(*_kpis(distinct))
-            .withColumn("aov", safe_ratio("revenue", "orders")))
+    sums = (exact_kpis(orders) if rsd is None
+            else orders.agg(*_kpis(lambda c: F.approx_count_distinct(c, rsd))))
+    return sums.withColumn("aov", safe_ratio("revenue", "orders"))
+
+
+def exact_kpis(orders: DataFrame, *keys) -> DataFrame:
+    """Revenue, orders and customers by ``keys``, in sums per order, then per customer.
+
+    An order has one customer, so orders add up over customers and no row is counted
+    twice for two distinct counts.
+    """
+    per_order = (orders.groupBy(*keys, "customer_id", "order_id")
+                 .agg(F.sum("total_amount").alias("amount")))
+    per_customer = (per_order.groupBy(*keys, "customer_id")
+                    .agg(F.sum("amount").alias("amount"), F.count("order_id").alias("n")))
+    return per_customer.groupBy(*keys).agg(
+        zero_if_null(F.sum("amount")).alias("revenue"),
+        zero_if_null(F.sum("n")).alias("orders"),
+        F.count("customer_id").alias("customers"))
 
 
 def trailing_kpis(orders: DataFrame, months=(1, 3, 6, 12),
@@ -55,8 +70,7 @@ def trailing_kpis(orders: DataFrame, months=(1, 3, 6, 12),
               .agg(F.sum("total_amount").alias("total_amount")))
     inside = F.array_compact(F.array(*[
         F.when(F.col("order_date") >= period_start(latest, m), m) for m in months]))
-    return (recent.withColumn("months", F.explode(inside))
-            .groupBy("months").agg(*_kpis(F.count_distinct))
+    return (exact_kpis(recent.withColumn("months", F.explode(inside)), "months")
             .withColumn("aov", safe_ratio("revenue", "orders")).orderBy("months"))
 
 
@@ -81,8 +95,8 @@ def period_comparison(orders: DataFrame, base: str | None = "previous_month",
         end = F.add_months(latest, back) if like_for_like else F.last_day(start)
         period = period.when((day >= start) & (day <= end), F.lit("base"))
     lines = date_range(orders, "order_date", this if back is None else start, latest)
-    stats = (lines.withColumn("period", period).where(F.col("period").isNotNull())
-             .groupBy("period").agg(*_kpis(F.count_distinct))
+    stats = (exact_kpis(lines.withColumn("period", period)
+                        .where(F.col("period").isNotNull()), "period")
              .withColumn("aov", safe_ratio("revenue", "orders")))
 
     measures = ["revenue", "orders", "aov", "customers"]
@@ -293,7 +307,7 @@ def sales_by_weekday(orders: DataFrame, per_day: bool = False) -> DataFrame:
     """
     number = F.weekday("order_date").alias("position")
     if per_day:
-        orders = (orders.groupBy("order_date")
+        orders = (orders.groupBy(F.col("order_date").cast("date").alias("order_date"))
                   .agg(F.sum("total_amount").alias("total_amount")))
     means = (orders.groupBy(number)
              .agg(F.sum("total_amount").alias("amount"), F.count("total_amount").alias("n"))

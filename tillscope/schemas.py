@@ -82,6 +82,7 @@ COGS_ITEM = "原価"
 MOVE_FROM_CORE, MOVE_FROM_EC, ENOUGH = "基幹倉庫から移動", "EC在庫倉庫から移動", "在庫十分"
 FUNNEL_STAGES = ("セッション数", "商品ページ閲覧", "カート投入", "購入")
 ACTUAL, PROJECTED = "実績", "予測"
+# Fixed output values: an id must get the same display name everywhere; the order counts.
 CORPORATE_PREFIXES = ("株式会社", "有限会社", "合同会社")
 CORPORATE_STEMS = (
     "山田建設", "田中工業", "佐藤製作所", "鈴木商事", "高橋電機", "渡辺ワークス",

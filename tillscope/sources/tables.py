@@ -2,6 +2,7 @@
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tillscope import schemas as S
 
@@ -9,17 +10,33 @@ from tillscope import schemas as S
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet",
                required: bool = True) -> DataFrame | None:
     """One table at ``folder/name.fmt``; ``None`` for a missing optional one."""
-    reader = spark.read.schema(S.TABLES[name])
-    if fmt == "csv":
-        reader = reader.option("header", True)
+    path, schema = f"{folder}/{name}.{fmt}", S.TABLES[name]
     try:
-        return reader.format(fmt).load(f"{folder}/{name}.{fmt}")
+        if fmt == "csv":
+            return _read_csv(spark, path, schema)
+        return spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as error:
         if required or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
+def _read_csv(spark, path, schema):
+    """The declared columns by their header name, in any order; others are left out.
+
+    A column that is missing is named in the error, and a value that is not of its
+    column's type ends the reading.
+    """
+    reader = spark.read.option("header", True)
+    found = [c.strip("\ufeff") for c in reader.csv(path).columns]
+    missing = [c for c in schema.names if c not in found]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    kinds = T.StructType([T.StructField(c, schema[c].dataType if c in schema.names
+                                        else T.StringType()) for c in found])
+    return reader.schema(kinds).option("mode", "FAILFAST").csv(path).select(*schema.names)
+
+
 def load_tables(spark: SparkSession, folder: str, fmt: str = "parquet",
                 names=None) -> dict[str, DataFrame | None]:
     """All retail tables by name, warehouses already renamed."""
