@@ -174,3 +174,29 @@ def test_absent_sessions_give_no_rows(tables, done):
     value = V.segment_visitor_value(None, done, tables["customers"], "2026-08-01", "2026-08-31")
     assert value.columns[0] == "segment" and value.count() == 0
     assert V.segment_visitor_value_monthly(None, done, tables["customers"]).count() == 0
+
+
+def test_orders_with_a_time_of_day(spark):
+    from datetime import datetime
+
+    from tillscope.plans import campaigns, sales
+
+    orders = spark.createDataFrame(
+        [("o1", "c1", "s", datetime(2026, 1, 5, 9), 100), ("o2", "c1", "s", datetime(2026, 1, 5, 18), 50),
+         ("o3", "c2", "s", datetime(2026, 1, 6, 23, 59), 70), (None, None, "s", datetime(2026, 1, 7), 5)],
+        "order_id string, customer_id string, sku_id string, order_date timestamp_ntz, "
+        "total_amount long")
+    monday = sales.sales_by_weekday(orders, per_day=True).first()
+    assert monday.mean_amount == 150
+    ran = spark.createDataFrame([("C", "n", "2026-01-05", "2026-01-06")],
+                                "campaign_id string, campaign_name string, a string, b string") \
+        .selectExpr("*", "to_date(a) start_date", "to_date(b) end_date")
+    lift = campaigns.campaign_lift(orders, ran).first()
+    assert (lift.before, lift.during, lift.after) == (0, 220, 5)
+    assert campaigns.campaign_daily_sales(orders, ran).count() == 3
+    kpis = sales.revenue_kpis(orders)
+    assert tuple(kpis.first())[:3] == (225, 3, 2)
+    assert tuple(sales.revenue_kpis(orders.limit(0)).first())[:3] == (0, 0, 0)
+    for plan in (kpis, sales.period_comparison(orders), sales.trailing_kpis(orders)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in text

@@ -10,6 +10,7 @@ from tillscope.operators.asof import asof_join
 from tillscope.plans import ads as A
 from tillscope.plans import attribution as T
 from tillscope.plans import campaigns as C
+from tillscope.plans.projection import demand_projection
 from tillscope.plans.sales import channel_bucket
 
 MULTIPLIERS = {"1-URGENT": 1.5, "2-HIGH": 0.7, "5-LOW": 0.0}
@@ -201,6 +202,19 @@ def ad_plan_total(spark, d):
     return A.ad_plan_total(adjusted_plan(spark, d))
 
 
+@query(_PLAN.format("month_start,", "where month_start in (select month from ahead) group by 1"
+                    ).replace("from adjusted", "from ahead_plan"),
+       ahead_plan="""select cast(month_start + interval 7 year as date) month_start,
+           planned_cost, adjusted_cost from adjusted""")
+def ad_plan_projected_months(spark, d):
+    """The plan moved into the projected months, cut to them, by month."""
+    ahead = demand_projection(done(spark, d), R.products(spark, d), horizon=6,
+                              method="seasonal")
+    moved = R.ad_plan(spark, d).withColumn("month", F.date_format(
+        F.add_months(F.to_date("month", "yyyy-MM"), 84), "yyyy-MM"))
+    return A.ad_plan_monthly(A.ad_plan_adjusted(moved, MULTIPLIERS, ahead.select("month")))
+
+
 @query("select channel, " + ", ".join(
     f"cast(sum(adjusted_cost) filter (month = '{m}') as bigint) \"{m}\""
     for m in PLAN_MONTHS) + " from adjusted group by 1")

@@ -135,6 +135,17 @@ def pl_matrix(spark, d):
     return L.pl_matrix(L.monthly_pl(R.monthly_expenses(spark, d)), PL_MONTHS)
 
 
+@query(" union all ".join(f"""select month, position, '{i}' item, cast({i} as double) "value"
+    from pl join spots using (month)""" for i in _PL_ITEMS),
+       spots="""select month, position from (
+           select month, row_number() over (order by month) - 1 as position,
+                  count(*) over () n from (select distinct month from pl))
+           where position >= n - 12""")
+def pl_newest_months(spark, d):
+    """P&L of the newest 12 months by position, in long form."""
+    return L.pl_items(L.month_slice(L.monthly_pl(R.monthly_expenses(spark, d))))
+
+
 # ── corporate accounts ──────────────────────────────────────────────────────
 
 _NAME = ("list_extract([" + ", ".join(f"'{w}'" for w in CORPORATE_PREFIXES)
@@ -279,6 +290,35 @@ def demand_projection_trees(spark, d):
             .unionByName(model.project(6, shifted).withColumn("scenario", F.lit("plan"))))
 
 
+@query("""select month, cast(x as bigint) month_num, true as has_band, true as fits_better
+    from projected""", series=_SALES_SERIES)
+def sales_projection_tree_checks(spark, d):
+    """What holds for any fit: months, a band of 30 %, and less error than the mean has."""
+    history = P.month_index(P.sales_history(done(spark, d)), "series")
+    model = P.fit_sales(history)
+    errors = model.errors().select((F.col("trees") < F.col("mean")).alias("b")).scalar()
+    return P.sales_band(model, 6).select(
+        "month", "month_num", (F.col("sales").between(F.col("lower"), F.col("upper"))
+                               & (F.col("upper") - F.col("lower") > 0)).alias("has_band"),
+        errors.alias("fits_better"))
+
+
+@query("""select category, month, month_num, true as whole, true as same_for_mean_plan,
+    true as fits_better from ahead""")
+def demand_projection_tree_checks(spark, d):
+    """What holds for any fit: months, whole pieces, and a plan equal to the mean spending
+    changes nothing."""
+    model = P.fit_demand(done(spark, d), R.products(spark, d), R.order_ads(spark, d))
+    ahead = model.project(6)
+    plan = ahead.select("month").distinct().withColumn("ad_spend", model.mean_spend.scalar())
+    planned = model.project(6, plan).select("category", "month", F.col("qty").alias("planned"))
+    errors = model.fitted.errors().select((F.col("trees") < F.col("mean")).alias("b")).scalar()
+    return ahead.join(planned, ["category", "month"]).select(
+        "category", "month", "month_num", (F.col("qty") >= 0).alias("whole"),
+        (F.col("qty") == F.col("planned")).alias("same_for_mean_plan"),
+        errors.alias("fits_better"))
+
+
 def seasonal_demand(spark, d):
     return P.demand_projection(done(spark, d), R.products(spark, d), horizon=6,
                                method="seasonal")

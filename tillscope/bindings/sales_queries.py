@@ -169,7 +169,8 @@ def new_repeat_monthly(spark, d):
     from flagged, latest where month >= date_trunc('month', d - interval 24 month)
     group by 1""", period="select * from done")
 def new_repeat_monthly_lifetime(spark, d):
-    return A.new_repeat_monthly(two_years(spark, d), history=done(spark, d))
+    heads = A.completed(R.order_heads(spark, d), R.DONE)
+    return A.new_repeat_monthly(two_years(spark, d), history=heads)
 
 
 @query(f"""select flag, revenue, {ratio('revenue', '(sum(money) over ())')} * 100 share_pct

@@ -49,6 +49,28 @@ def month_window(pl: DataFrame, window: int = 12, start: int | None = None) -> l
     return months[first:first + window]
 
 
+def month_slice(pl: DataFrame, window: int = 12, start: int | None = None) -> DataFrame:
+    """Rows of ``window`` months by position, the newest ones without ``start``; lazy.
+
+    ``position`` numbers the months from 0. The window runs over the list of months.
+    """
+    spot = Window.orderBy("month")  # one row per month of history
+    months = pl.select("month").distinct().select(
+        "month", (F.row_number().over(spot) - 1).alias("position"),
+        F.count("*").over(Window.partitionBy()).alias("months"))
+    newest = F.greatest(F.lit(0), F.col("months") - window)
+    first = newest if start is None else F.least(F.lit(start), newest)
+    kept = months.where((F.col("position") >= first) & (F.col("position") < first + window))
+    return pl.join(kept.select("month", "position"), "month")
+
+
+def pl_items(pl: DataFrame, cost_items=S.COST_ITEMS, revenue: str = S.REVENUE_ITEM) -> DataFrame:
+    """P&L in long form: month, position, item, value."""
+    items = [revenue, *cost_items, "total_cost", "operating_profit", "margin_pct"]
+    return (pl.select("month", "position", *[F.col(i).cast("double").alias(i) for i in items])
+            .unpivot(["month", "position"], items, "item", "value"))
+
+
 def pl_matrix(pl: DataFrame, months, cost_items=S.COST_ITEMS,
               revenue: str = S.REVENUE_ITEM) -> DataFrame:
     """P&L with items as rows and the given months as columns."""

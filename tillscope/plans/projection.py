@@ -24,6 +24,7 @@ from tillscope.functions.columns import month_label, month_start, yen, zero_if_n
 from tillscope.operators.domains import month_domain
 from tillscope.operators.materialize import materialize
 from tillscope.operators.periods import last_months, latest_date
+from tillscope.operators.salting import join_to_few
 from tillscope.plans.ads import mean_monthly_ad_spend, monthly_ad_spend
 from tillscope.plans.sales import monthly_sales
 
@@ -169,6 +170,14 @@ class FittedTrees(NamedTuple):
     key: str
     value: str
 
+    def errors(self) -> DataFrame:
+        """Squared errors over the training rows, of the trees and of each series' mean."""
+        actual = F.col("__actual")
+        own = self.project(self.frame.withColumn("__actual", F.col(self.value).cast("double"))
+                           .drop(self.value))
+        return own.agg(F.sum((F.col(self.value) - actual) ** 2).alias("trees"),
+                       F.sum((F.col("scale") - actual) ** 2).alias("mean"))
+
     def project(self, future: DataFrame) -> DataFrame:
         return (self.model.transform(future).join(self.scales, self.key)
                 .withColumn(self.value, F.col("prediction") * F.col("scale")))
@@ -181,16 +190,33 @@ def sales_projection(orders: DataFrame, horizon: int = 6, method: str = "trees",
 
     A partial last month counts like a full one unless ``drop_partial``.
     """
+    history = sales_history(orders, drop_partial)
+    if method == "seasonal":
+        return _with_band(seasonal(history, "series", "sales", horizon))
+    return sales_band(fit_sales(month_index(history, "series"), trees, depth, seed), horizon)
+
+
+def sales_history(orders: DataFrame, drop_partial: bool = False) -> DataFrame:
+    """Monthly revenue as one series."""
     history = (monthly_sales(orders).withColumnRenamed("revenue", "sales")
                .withColumn("series", F.lit("all")))
     if drop_partial:
         history = drop_partial_month(history, latest_date(orders, "order_date"))
-    if method == "seasonal":
-        result = seasonal(history, "series", "sales", horizon)
-    else:
-        fitted = fit_trees(month_index(history, "series"), "series", "sales",
-                           month_flags, ["month_num", *MONTH_FLAGS], trees, depth, seed)
-        result = fitted.project(month_flags(future_months(fitted.frame, "series", horizon)))
+    return history
+
+
+def fit_sales(indexed: DataFrame, trees: int = 100, depth: int = 3,
+              seed: int = 42) -> FittedTrees:
+    return fit_trees(indexed, "series", "sales", month_flags,
+                     ["month_num", *MONTH_FLAGS], trees, depth, seed)
+
+
+def sales_band(fitted: FittedTrees, horizon: int) -> DataFrame:
+    return _with_band(fitted.project(
+        month_flags(future_months(fitted.frame, "series", horizon))))
+
+
+def _with_band(result: DataFrame) -> DataFrame:
     return (result.select("month", "month_num", "sales",
                           (F.col("sales") * 0.7).alias("lower"),
                           (F.col("sales") * 1.3).alias("upper")).orderBy("month"))
@@ -302,7 +328,7 @@ def sku_demand_split(projection: DataFrame, orders: DataFrame, products: DataFra
         F.sort_array(F.collect_list(F.struct("month", "qty"))).alias("ahead"))
     share = (F.when(F.col("recent").isNull(), F.lit(1.0) / F.col("skus"))
              .when(F.col("sold") > 0, F.col("recent") / F.col("sold")).otherwise(0.0))
-    split = (skus.join(totals.join(ahead, "category"), "category")
+    split = (join_to_few(skus, totals.join(ahead, "category"), "category", "sku_id")
              .withColumn("share", share)
              .withColumn("ahead", F.transform("ahead", lambda m: F.struct(
                  m["month"].alias("month"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tillscope import schemas as S
 from tillscope.functions.columns import zero_if_null
 from tillscope.operators.periods import latest_snapshot
+from tillscope.operators.salting import join_to_few
 
 
 def stock_by_sku(inventory: DataFrame, latest: Column | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def replenishment_plan(projection: DataFrame, products: DataFrame, inventory: Da
     demand = next_month.join(sizes, "category").select(
         "category",
         F.greatest(F.lit(1), (F.col("qty") / F.col("skus")).cast("long")).alias("demand"))
-    rows = (skus.join(demand, "category")
+    rows = (join_to_few(skus, demand, "category", "sku_id")
             .join(stock_by_sku(inventory, latest), "sku_id", "left")
             .withColumns({"ship_stock": zero_if_null("ship_stock"),
                           "ec_stock": zero_if_null("ec_stock")}))
