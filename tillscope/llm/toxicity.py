@@ -33,7 +33,7 @@ SECOND_PERSON = frozenset(
     "votre vos usted ustedes tus ti tuyo su".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
 LETTERS = re.compile(r"[^\W\d_]+")
-OBFUSCATED = re.compile(r"[^\W\d_][\d@$!*#%&]+[^\W\d_]|[^\W\d_][*#$%&]{2,}")
+OBFUSCATED = re.compile(r"[^\W\d_][\d@$!*#%&]+[^\W\d_]|[^\W\d_][*#$%&]{2,}|^[\d@$!]+[^\W\d_]{3}")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 
 SEEDED, LEARNED, BEGINS, PERSON, CAPS, MASKED, DRAWN = (1 << i for i in range(7))
