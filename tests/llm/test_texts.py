@@ -216,6 +216,25 @@ def test_packing_odd_rows(crowded, nothing):
     assert packing.packed(nothing).count() == 0
 
 
+def test_documents_of_a_topic_share_a_shard(spark):
+    rng = np.random.default_rng(3)
+    topics = [[f"t{g}word{i}" for i in range(40)] for g in range(8)]
+    rows = [(i, " ".join([*rng.choice(topics[i % 8], 30), *rng.choice(["of", "the", "and"], 9)]))
+            for i in range(320)]
+    rows += [(1000 + i, "a copy of one and the same text") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    place = {r.doc_id: r.sequence_id >> 24 for r in packing.packed(df, shard=40).collect()}
+    assert len(place) == len(rows)
+    most = [Counter(place[i] for i in range(g, 320, 8)).most_common(1)[0][1] for g in range(8)]
+    assert np.mean(most) >= 20, most  # of 40; about 6 if dealt at random
+    assert max(Counter(place.values()).values()) <= 100  # copies do not load one shard
+
+
+def test_a_long_seed_asks_with_all_its_terms():
+    docs = [np.arange(1, 101), *[np.array([i, i]) for i in range(1, 101)]]
+    assert (packing.Index(docs).neighbours(0)[1:] > 0).all()
+
+
 def test_pieces_encode_like_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,7 +1,10 @@
 """Packing documents into token windows next to their lexical neighbours.
 
-Documents are dealt to shards of bounded size at random, so no source and no group of copies
-loads one of them. A shard holds a BM25 inverted index over its documents' token ids. A seed
+Documents are dealt to shards of bounded size by content: a tree of planes, fitted to a sample,
+cuts the space of term vectors where few documents lie, so a shard holds documents that share
+heavy terms however many documents there are. A shard that grows too large, as of copies, is
+split at random. A shard holds a BM25 inverted index over its documents' token ids, weighed by
+the frequencies in the whole table. A seed
 document opens a window; the index returns its unused neighbours, best first, which fill the
 window. A document that does not fit is cut, and its rest seeds the next window, so all windows
 are full but a shard's last: that is cut at powers of two, which need no padding.
@@ -16,58 +19,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.base import written
 from tillscope.llm.groups import whole_runs
 from tillscope.llm.tokens import encoder, tokenizer_path
 
 WINDOW = 1024
 END = 0            # id behind every document
-SHARD = 2_000      # documents of a shard, on average
-QUERY_TERMS = 32   # a seed asks with its terms of the greatest weight
+SHARD = 2_000      # documents of a shard, on average; twice as many at most, about
+DIMENSIONS = 128   # of a term vector
+PER_SHARD = 20     # documents of the sample for each shard
+SAMPLE = 120_000   # documents of the sample at most
+SEED = 42
 K1, B = 1.2, 0.75
 
 
+def weights_of(df: np.ndarray, n: int) -> np.ndarray:
+    """BM25 weight of terms that ``df`` of ``n`` documents hold."""
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
 class Index:
-    """BM25 postings of a shard in three arrays, ordered by term."""
+    """BM25 postings of a shard in three arrays, ordered by term.
+
+    ``weight``: of each term id, and ``mean``: length of a document, in the whole table;
+    without them, those of the shard. A document asks with all its terms.
+    """
 
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], weight: np.ndarray | None = None,
+                 mean: float | None = None):
+        n = self.n = len(docs)
         length = np.array([len(d) for d in docs])
-        doc = np.repeat(np.arange(n), length)
-        term = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
-        pair, tf = np.unique(term * n + doc, return_counts=True)
-        term, self.doc = pair // n, pair % n
-        self.first = np.searchsorted(term, np.arange(term.max(initial=-1) + 2))
-        df = np.diff(self.first)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
-        self.score = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        # each document's terms of the greatest weight
-        weight = idf[term] * tf
-        weight[df[term] < 2] = 0  # no other document has it
-        order = np.lexsort((-weight, self.doc))
-        count = np.bincount(self.doc, minlength=n)
-        begin = np.cumsum(count) - count
-        self.queries = []
-        for b, c in zip(begin.tolist(), np.minimum(count, QUERY_TERMS).tolist()):
-            top = order[b:b + c]
-            self.queries.append(term[top[weight[top] > 0]])
-        self.n = n
+        held = [np.unique(d, return_counts=True) for d in docs]
+        term = np.concatenate([t for t, _ in held]).astype(np.int64) if n else np.empty(0, int)
+        tf = np.concatenate([c for _, c in held]) if n else np.empty(0, int)
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in held])
+        order = np.argsort(term, kind="stable")
+        term, tf, doc = term[order], tf[order], doc[order]
+        known, term, df = np.unique(term, return_inverse=True, return_counts=True)
+        idf = weights_of(df, n) if weight is None else weight[known]
+        norm = K1 * (1 - B + B * length / max(1.0, length.mean() if mean is None else mean))
+        score = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        # terms of many documents as columns, others as lists; a term of one document tells nothing
+        column = np.full(len(df), -1)
+        many = np.flatnonzero(df > max(8, n // 8))
+        column[many] = np.arange(len(many))
+        dense = column[term] >= 0
+        self.table = np.zeros((n, len(many)))
+        self.table[doc[dense], column[term[dense]]] = score[dense]
+        rare = ~dense & (df[term] > 1)
+        self.doc, self.score = doc[rare], score[rare]
+        count = np.bincount(term[rare], minlength=len(df))
+        self.first, self.count = np.cumsum(count) - count, count
+        order = np.argsort(doc[rare], kind="stable")
+        self.terms = np.split(term[rare][order], np.cumsum(np.bincount(
+            self.doc, minlength=n))[:-1]) if n else []
 
     def neighbours(self, seed: int) -> np.ndarray:
         """BM25 scores of all documents for the seed's terms."""
-        out = np.zeros(self.n)
-        for t in self.queries[seed]:
-            a, b = self.first[t], self.first[t + 1]
-            out[self.doc[a:b]] += self.score[a:b]  # a term has a document once
-        return out
+        out = self.table @ (self.table[seed] > 0)
+        t = self.terms[seed]
+        count = self.count[t]
+        at = np.repeat(self.first[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return out + np.bincount(self.doc[at], self.score[at], minlength=self.n)
 
 
-def packed_shard(docs: list[np.ndarray], window: int = WINDOW):
+def packed_shard(docs: list[np.ndarray], window: int = WINDOW, weight: np.ndarray | None = None,
+                 mean: float | None = None):
     """Pieces (document, start, length, sequence, offset) that cover all documents.
 
     ``docs``: ids of each document, the end id included, so none is empty.
     """
-    index = Index([d[:-1] for d in docs])
+    index = Index([d[:-1] for d in docs], weight, mean)
     free = np.ones(len(docs), bool)
     following = 0  # the first document that may be unused
     pieces, sequence, filled, seed, scores = [], 0, 0, None, None
@@ -122,40 +144,181 @@ def _at_powers(pieces, sequence: int, filled: int):
     return done
 
 
+def vectors(docs: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """Unit vectors of documents: random directions of their terms, by frequency and weight."""
+    planes = _directions(len(weight))
+    out = np.zeros((len(docs), DIMENSIONS), np.float32)
+    for i, d in enumerate(docs):
+        term, tf = np.unique(d, return_counts=True)
+        out[i] = ((1 + np.log(tf)) * weight[term]).astype(np.float32) @ planes[term]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+_known: dict[int, np.ndarray] = {}
+
+
+def _directions(terms: int) -> np.ndarray:
+    if terms not in _known:
+        _known[terms] = np.random.default_rng(SEED).standard_normal(
+            (terms, DIMENSIONS), dtype=np.float32)
+    return _known[terms]
+
+
+def fitted(sample: np.ndarray, shards: int):
+    """A tree of planes with about ``shards`` leaves: (plane, bound, below, above) per node.
+
+    A child below 0 is the leaf ``-1 - child``. A node is cut at the widest gap near its middle
+    along its direction of greatest variance; a node whose vectors are equal is a leaf.
+    """
+    nodes, leaves = [], 0
+
+    def grow(rows: np.ndarray, count: int) -> int:
+        nonlocal leaves
+        if count > 1 and len(rows) > 3:
+            centred = rows - rows.mean(0)
+            _, axes = np.linalg.eigh(centred.T @ centred)
+            plane = np.ascontiguousarray(axes[:, -1])
+            at = np.sort(rows @ plane)
+            low, high = int(len(at) * 0.4), max(int(len(at) * 0.4) + 1, int(len(at) * 0.6))
+            gap = np.diff(at[low:high + 1])
+            if gap.max() < 1e-4:  # copies in the middle: the widest gap anywhere
+                low, gap = 0, np.diff(at)
+            if gap.max() >= 1e-4:
+                k = low + int(gap.argmax())
+                bound = (at[k] + at[k + 1]) / 2
+                above = rows @ plane > bound
+                share = min(count - 1, max(1, round(count * (~above).mean())))
+                nodes.append(None)
+                me = len(nodes) - 1
+                nodes[me] = (plane, bound, grow(rows[~above], share),
+                             grow(rows[above], count - share))
+                return me
+        leaves += 1
+        return -leaves
+
+    root = grow(sample, shards)
+    if root < 0:
+        return None
+    plane, bound, below, above = zip(*nodes)
+    return np.array(plane, np.float32), np.array(bound, np.float32), np.array(below), \
+        np.array(above)
+
+
+def leaf_of(rows: np.ndarray, tree) -> np.ndarray:
+    """Number of the leaf of each vector."""
+    at = np.zeros(len(rows), np.int64)
+    if tree is None:
+        return at
+    plane, bound, below, above = tree
+    while (on := np.flatnonzero(at >= 0)).size:
+        node = at[on]
+        up = (rows[on] * plane[node]).sum(1) > bound[node]
+        at[on] = np.where(up, above[node], below[node])
+    return -1 - at
+
+
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
            window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """Pieces of all documents: key, start, length, ids (binary, little-endian 32 bit),
     doc_tokens, sequence_id, offset.
 
     A null or empty text is its end id alone. Rows are packed as they are, repeated and null
-    keys too; ``docs`` must read back in the same order if a task is lost, as files do. An empty
-    table gives no rows.
+    keys too. An empty table gives no rows.
     """
-    shards = max(1, math.ceil(docs.count() / shard))
     path = path or tokenizer_path()
-    dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(shards))
-        .alias("key"), F.col(key).alias("id"), F.col(text).alias("text"))
     end = np.array([END], "<u4").tobytes()
+    with open(path, "rb") as ranks:
+        # two bytes an id between the steps where the vocabulary allows it
+        code = "<u2" if max(int(x.split()[1]) for x in ranks if x.strip()) < 1 << 16 else "<u4"
+
+    def encoded(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                ids = [np.frombuffer(encoder(path).encode(t) + end, "<u4").astype(code).tobytes()
+                       for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(ids, pa.binary())],
+                    names=["id", "row", "ids"])
+
+    kind = dict(docs.dtypes)[key]
+    known = written(docs.select(
+        F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"),
+        F.col(text).alias("text")).mapInArrow(encoded, f"id {kind}, row long, ids binary"))
+
+    def frequencies(batches):
+        encoder.cache_clear()  # what it remembers is not needed any more
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                one = np.bincount(np.unique(np.frombuffer(raw, code)[:-1]))
+                if len(one) > len(total):
+                    one[:len(total)] += total
+                    total = one
+                else:
+                    total[:len(one)] += one
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])],
+                                         names=["term", "df"])
+
+    n, tokens = known.agg(F.count("*"), F.sum(F.octet_length("ids") / int(code[-1]) - 1)).first()
+    counted = known.select("ids").mapInArrow(frequencies, "term long, df long") \
+        .groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(int(counted["term"].max()) + 1 if len(counted) else 1)
+    df[counted["term"]] = counted["df"]
+    weight, mean = weights_of(df, n), (tokens or 0) / max(1, n)
+
+    def sketched(batches):
+        for batch in batches:
+            rows = [np.frombuffer(r, code)[:-1] for r in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v.tobytes() for v in vectors(rows, weight)], pa.binary())],
+                names=["v"])
+
+    shards = max(1, math.ceil(n / shard))
+    tree, parts = None, np.ones(1, np.int64)
+    if shards > 1:
+        share = min(1.0, min(SAMPLE, PER_SHARD * shards + 2_000) / n)
+        some = known.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        sample = some.select("ids").mapInArrow(sketched, "v binary").toPandas()["v"]
+        sample = np.frombuffer(b"".join(sample), np.float32).reshape(-1, DIMENSIONS)
+        tree = fitted(sample, shards)
+        # leaves that the sample shows to be large are split at random
+        size = np.bincount(leaf_of(sample, tree)) * (n / max(1, len(sample)))
+        parts = np.where(size > 1.5 * shard, np.ceil(size / shard), 1).astype(np.int64)
+
+    def leaves(batches):
+        encoder.cache_clear()
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                rows = [np.frombuffer(r, code)[:-1] for r in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaf_of(vectors(rows, weight), tree)), *batch.columns],
+                    names=["leaf", *batch.schema.names])
+
+    dealt = known.mapInArrow(leaves, f"leaf long, id {kind}, row long, ids binary")
+    salt = F.pmod(F.xxhash64("id", "row"), F.get(F.lit(parts.tolist()), F.col("leaf").cast("int")))
+    dealt = dealt.select((F.col("leaf") * (1 << 16) + salt).alias("key"), "id", "row", "ids")
 
     def run(batches):
+        encoder.cache_clear()
         for table in whole_runs(batches):
             number = table.column("key").to_numpy()
             cut = np.flatnonzero(np.diff(number)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(number)]):
                 group = table.slice(a, b - a)
-                raw = [encoder(path).encode(t) + end for t in group.column("text").to_pylist()]
-                ids = [np.frombuffer(r, "<u4") for r in raw]
+                ids = [np.frombuffer(r, code).astype("<u4") for r in group.column("ids").to_pylist()]
+                raw = [i.tobytes() for i in ids]
                 doc, start, length, sequence, offset = np.array(
-                    packed_shard(ids, window), np.int64).T
+                    packed_shard(ids, window, weight, mean), np.int64).T
                 yield pa.RecordBatch.from_arrays([
                     group.column("id").combine_chunks().take(pa.array(doc)), pa.array(start),
                     pa.array(length), pa.array([raw[d][4 * s:4 * (s + n)] for d, s, n in zip(
                         doc.tolist(), start.tolist(), length.tolist())], pa.binary()),
                     pa.array(np.array([len(i) for i in ids])[doc]),
-                    pa.array(sequence + (int(number[a]) << 32)), pa.array(offset)],
+                    pa.array(sequence + (int(number[a]) << 24)), pa.array(offset)],
                     names=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-    kind = dict(docs.dtypes)[key]
-    return (dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(
+    return (dealt.repartition("key").sortWithinPartitions("key", "id", "row").mapInArrow(
         run, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, "
              "sequence_id long, offset long"))
