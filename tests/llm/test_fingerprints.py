@@ -106,6 +106,30 @@ def test_near_copies_leave_one_row(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
 
 
+def test_shingle_sets_decide_near_copies(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for i in range(150):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 304)]
+        changed = list(words)
+        share = 6 if i % 2 else 10  # 0.82 and 0.71 of the shingles
+        for k in range(share):
+            changed[5 + 30 * k] = f"other{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+        want |= {2 * i} if i % 2 else {2 * i, 2 * i + 1}
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_near_copies_in_a_large_bucket(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 304)]
+    rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1:]))
+            for i, k in enumerate(rng.integers(5, 295, 300))]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_simhash_stage_on_odd_rows(crowded, nothing):
     kept = simhash.deduplicated(crowded)
     assert kept.columns == crowded.columns
