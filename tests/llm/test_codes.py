@@ -1,0 +1,114 @@
+"""Product codes against plain Lloyd rounds on integers."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tillscope.llm import codes
+
+ROW = "vec_id long, embedding array<double>, label string"
+
+
+def direct(rows, entries=256, rounds=4):
+    """Everything in Python integers."""
+    kept = sorted((r for r in rows if r[1] is not None and all(
+        x is not None and math.isfinite(x) for x in r[1])),
+        key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    d = len(kept[0][1]) // 4
+    vectors = [[math.floor(1024 * int(x)) if abs(x) > 2 ** 53 else math.floor(1024 * x)
+                for x in r[1]] for r in kept]
+    books, found = [], []
+    for part in range(4):
+        points = [v[part * d:(part + 1) * d] for v in vectors]
+        book = points[:entries]
+
+        def near(p):
+            return min((sum((a - b) ** 2 for a, b in zip(p, e)), i) for i, e in enumerate(book))
+        for _ in range(rounds):
+            groups = {}
+            for p in points:
+                groups.setdefault(near(p)[1], []).append(p)
+            book = [[sum(c) // len(groups[i]) for c in zip(*groups[i])] if i in groups else e
+                    for i, e in enumerate(book)]
+        books.append(book)
+        found.append([near(p) for p in points])
+    error = [sum(f[i][0] for f in found) for i in range(len(kept))]
+    sums = {}
+    for r, e in zip(kept, error):
+        sums[r[2]] = sums.get(r[2], 0) + e
+    sha = hashlib.sha256(",".join(
+        str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return sorted(((r[0], "".join(f"{f[i][1]:02x}" for f in found), error[i], sums[r[2]], sha)
+                   for i, r in enumerate(kept)), key=str)
+
+
+def planted(rng, n, d=8):
+    centres = [[rng.gauss(0, 1) for _ in range(d)] for _ in range(9)]
+    rows = []
+    for i in range(n):
+        c, far = rng.choice(centres), rng.choice([0, 0, 0.001, 0.1, 3])
+        rows.append((i, [x + far * rng.gauss(0, 1) for x in c], rng.choice(["a", "b", None])))
+    return rows
+
+
+@pytest.mark.parametrize("entries", [4, 16, 256])
+def test_codes_equal_plain_rounds(spark, entries):
+    rows = planted(random.Random(entries), 400)
+    df = spark.createDataFrame(rows, ROW).repartition(5)
+    got = sorted(map(tuple, codes.coded(df, entries=entries).collect()), key=str)
+    assert got == direct(rows, entries)
+
+
+def test_blocks_do_not_change_codes(spark, monkeypatch):
+    rows = planted(random.Random(3), 300)
+    df = spark.createDataFrame(rows, ROW)
+    out = [sorted(map(tuple, codes.coded(x, entries=16).collect()), key=str)
+           for x in (df.coalesce(1), df.repartition(11))]
+    assert out[0] == out[1]
+
+
+def test_ties_copies_and_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    base = [(i, [float(i % 3), 0.0, 1.0, -1.5], "x" if i % 2 else None) for i in range(12)]
+    odd = [(20, None, "x"), (21, [1.0, None, 2.0, 3.0], "x"), (22, [nan, 0.0, 0.0, 0.0], "x"),
+           (23, [inf, 0.0, 0.0, 0.0], None), (5, [9.0, 9.0, 9.0, 9.0], "y"),
+           (None, [0.5, 0.5, 0.5, 0.5], "x"), (24, [1e30, -1e300, 2.0 ** 60, 0.1], "big"),
+           (25, [-1e-9, 0.0, 0.0, 1e-9], "small")]
+    rows = base + odd
+    df = spark.createDataFrame(rows, ROW).withColumn("code", F.lit(1)).withColumn("own", F.lit(2))
+    for entries in (3, 256):
+        got = sorted(map(tuple, codes.coded(df, entries=entries).collect()), key=str)
+        want = direct(rows, entries)
+        top = codes.LONGEST
+        assert got == sorted(((a, b, min(c, top), min(d, top), e) for a, b, c, d, e in want), key=str)
+    other = spark.createDataFrame(rows + [(30, [1.0] * 8, "x"), (31, [], "x")], ROW)
+    assert codes.coded(other).count() == len(direct(rows))
+    assert codes.coded(df.limit(0)).count() == 0
+    assert codes.coded(spark.createDataFrame([(1, [1.0, 2.0], "x")], ROW)).count() == 0
+
+
+def test_trees_cover_their_points_and_skip_work():
+    rng = np.random.default_rng(0)
+    centres = rng.integers(-1000, 1000, (40, 6))
+    points = (centres[rng.integers(0, 40, 4000)] + rng.integers(-2, 3, (4000, 6))).astype(float)
+    tree = codes.Tree(points)
+    assert (tree.points == points[tree.order]).all() and sorted(tree.order) == list(range(4000))
+    for a, b, r, f, z in zip(tree.start, tree.end, tree.radius, tree.first, tree.last):
+        apart = np.sqrt(((tree.points[a:b] - tree.points[a]) ** 2).sum(1))
+        assert apart.max() <= r or r == apart.max() == 0
+        if z > f:
+            assert tree.start[f] == a and tree.end[z - 1] == b
+            assert (tree.start[f + 1:z] == tree.end[f:z - 1]).all()
+            assert (tree.radius[f:z] <= r / 2 * (1 + 1e-8)).all()
+    entries = centres[:16].astype(float)
+    start, end, entry = tree.assigned(entries)
+    assert len(start) < 1500  # most points go with their subtree
+    want = codes.distances(points, entries).argmin(1)
+    assert (tree.coded(entries)[0] == want).all()
+    count, total = tree.sums(entries)
+    assert (count == np.bincount(want, minlength=16)).all()
+    assert (total == np.stack([points[want == e].sum(0) for e in range(16)])).all()

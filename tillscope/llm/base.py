@@ -39,14 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.
+def written(df: DataFrame, **options) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, written with the writer's ``options``.
 
     It survives lost executors, cuts the lineage, and Spark knows its size: a join to it is
     broadcast only below the session's threshold and shuffled above it.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

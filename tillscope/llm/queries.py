@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.llm import (
+    codes,
+    ctw,
     hyperplanes,
     langid,
     lines,
     mixing,
     order_minhash,
     packing,
+    periods,
     rollup,
     simhash,
     toxicity,
@@ -227,3 +230,77 @@ def op9_language(spark, sf_dir):
     network = langid.fit(docs)
     return langid.identified(docs.select("doc_id", "text"), network).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op11_context_tree_scores(spark, sf_dir):
+    """Log-probability of each text by context-tree weighting, beside that by add-one counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 7
+    return ctw.scored(docs, rest != 2).select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(True))
+        .alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "bits_per_byte")
+
+
+@query()
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of each document, one in ten of which gets a loop first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periods.digest(periods.found(docs, number=F.crc32(F.col("doc_id").cast("string"))))
+
+
+def _lloyd_sql() -> str:
+    """The quantizer with every distance computed."""
+    kept = """
+cells as (
+  select vec_id, label, (nth - 1) // (len(embedding) // 4) as part,
+         (nth - 1) % (len(embedding) // 4) as place, floor(1024 * x::double)::bigint as x
+  from (select vec_id, label, embedding, unnest(embedding) as x,
+               generate_subscripts(embedding, 1) as nth
+        from embeddings where embedding is not null and len(list_filter(
+             embedding, lambda x: x is null or not isfinite(x))) = 0)),
+parts as (
+  select vec_id, label, part, list(x order by place) as v from cells group by all),
+book0 as (
+  select part, row_number() over (partition by part order by vec_id) - 1 as entry, v as e
+  from parts qualify entry < 256)"""
+
+    def nearest(n):
+        return f"""
+near{n} as (
+  select vec_id, label, part, v, arg_min(entry, d * 256 + entry) as entry, min(d) as d
+  from (select p.*, b.entry, list_sum(list_transform(list_zip(p.v, b.e),
+               lambda x: (x[1] - x[2]) * (x[1] - x[2])))::bigint as d
+        from parts p join book{n} b using (part))
+  group by vec_id, label, part, v)"""
+
+    def moved(n):
+        return f"""
+book{n + 1} as (
+  select b.part, b.entry, coalesce(m.e, b.e) as e
+  from book{n} b left join (
+    select part, entry, list(x order by place) as e
+    from (select part, entry, place, floor(sum(x)::hugeint / count(*))::bigint as x
+          from (select part, entry, unnest(v) as x, generate_subscripts(v, 1) as place
+                from near{n})
+          group by part, entry, place)
+    group by part, entry) m using (part, entry))"""
+    steps = [kept] + [f(n) for n in range(4) for f in (nearest, moved)] + [nearest(4)]
+    return "with " + ",".join(f"{s}" for s in steps) + """,
+codes as (
+  select vec_id, label, string_agg(printf('%02x', entry), '' order by part) as code,
+         sum(d)::bigint as error
+  from near4 group by vec_id, label),
+printed as (
+  select sha256(string_agg(array_to_string(e, ','), ',' order by part, entry)) as sha from book4)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+       sha as codebooks_sha256
+from codes, printed
+"""
+
+
+@query(_lloyd_sql())
+def op13_cover_tree_codes(spark, sf_dir):
+    """Product codes of the embeddings, their errors, and a checksum of the codebooks."""
+    return codes.coded(table(spark, sf_dir, "embeddings"))
