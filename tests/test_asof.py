@@ -84,3 +84,23 @@ def test_many_rows_at_one_instant(spark):
     right = [("a", t, i, f"c{i}") for i in range(100)]
     got = run(spark, left, right)
     assert got == brute(left, right) and len(got) == 202
+
+
+def test_left_side_is_read_once(spark, tmp_path):
+    rng = random.Random(9)
+    start = datetime(2026, 1, 1)
+    left = [(i, rng.choice(["hot", "hot", "a", None]), start + timedelta(hours=rng.randrange(400)),
+             i) for i in range(400)]
+    right = [(rng.choice(["hot", "a", "b"]), start + timedelta(hours=rng.randrange(400)), i, "x")
+             for i in range(300)]
+    spark.createDataFrame(left, LEFT).write.parquet(f"{tmp_path}/left")
+    spark.createDataFrame(right, RIGHT).write.parquet(f"{tmp_path}/right")
+    joined = asof_join(spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right"),
+                       "k", "at", "seen", ["channel"], tie=["tie"])
+    for df in (joined, joined.groupBy("channel").agg({"v": "sum"})):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 2, final
+        assert "ReusedExchange" in final
+    assert sorted(map(tuple, joined.collect())) == brute(left, right)

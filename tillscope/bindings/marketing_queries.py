@@ -14,7 +14,6 @@ from tillscope.plans.projection import demand_projection
 from tillscope.plans.sales import channel_bucket
 
 MULTIPLIERS = {"1-URGENT": 1.5, "2-HIGH": 0.7, "5-LOW": 0.0}
-PLAN_MONTHS = [f"1998-{m:02d}" for m in range(1, 13)]
 TIE = ("session_id",)
 
 _EVENT_BUCKET = """case channel when 'view' then 'organic' when 'click' then 'paid'
@@ -216,10 +215,17 @@ def ad_plan_projected_months(spark, d):
 
 
 @query("select channel, " + ", ".join(
-    f"cast(sum(adjusted_cost) filter (month = '{m}') as bigint) \"{m}\""
-    for m in PLAN_MONTHS) + " from adjusted group by 1")
+    f"cast(sum(adjusted_cost) filter (place = {i}) as bigint) p{i}" for i in range(12))
+    + " from adjusted join places using (month) group by 1 union all select 'month', "
+    + ", ".join(f"cast(max(replace(month, '-', '')) filter (place = {i}) as bigint)"
+                for i in range(12)) + " from places",
+       places="""select month, place from (
+           select month, row_number() over (order by month desc) as back,
+                  least(12, count(*) over ()) - back as place
+           from (select distinct month from adjusted)) where back <= 12""")
 def ad_plan_matrix(spark, d):
-    return A.ad_plan_matrix(adjusted_plan(spark, d), PLAN_MONTHS)
+    """The newest 12 months of the plan by position."""
+    return A.ad_plan_newest(adjusted_plan(spark, d))
 
 
 # ── campaigns ───────────────────────────────────────────────────────────────

@@ -21,10 +21,6 @@ from tillscope.schemas import CORPORATE_PREFIXES, CORPORATE_STEMS, SHIPPING_WARE
 
 LAUNCH = "2000-10-15"
 AS_OF = "2001-09-30"
-PL_MONTHS = [f"2000-{m:02d}" for m in range(1, 13)]
-AHEAD_LABELS = ["2001/09", "2001/10", "2001/11", "2001/12", "2002/01", "2002/02"]
-TABLE_LABELS = ["2001/02", "2001/03", "2001/04", "2001/05", "2001/06", "2001/07",
-                "2001/08", *AHEAD_LABELS]
 
 
 # ── inventory ───────────────────────────────────────────────────────────────
@@ -127,14 +123,6 @@ def latest_cost_shares(spark, d):
 _PL_ITEMS = ("売上", *COSTS, "total_cost", "operating_profit", "margin_pct")
 
 
-@query(" union all ".join(
-    f"select '{i}' item, " + ", ".join(
-        f"cast(max({i}) filter (month = '{m}') as double) \"{m}\"" for m in PL_MONTHS)
-    + " from pl" for i in _PL_ITEMS))
-def pl_matrix(spark, d):
-    return L.pl_matrix(L.monthly_pl(R.monthly_expenses(spark, d)), PL_MONTHS)
-
-
 @query(" union all ".join(f"""select month, position, '{i}' item, cast({i} as double) "value"
     from pl join spots using (month)""" for i in _PL_ITEMS),
        spots="""select month, position from (
@@ -146,6 +134,20 @@ def pl_newest_months(spark, d):
     return L.pl_items(L.month_slice(L.monthly_pl(R.monthly_expenses(spark, d))))
 
 
+@query(" union all ".join(
+    f"select '{name}' item, " + ", ".join(
+        f"cast(max({value}) filter (place = {i}) as double) p{i}" for i in range(12))
+    + " from pl join places using (month)"
+    for name, value in [*((i, i) for i in _PL_ITEMS), ("month", "replace(month, '-', '')")]),
+       places="""select month, place from (
+           select month, row_number() over (order by month desc) as back,
+                  least(12, count(*) over ()) - back as place
+           from (select distinct month from pl)) where back <= 12""")
+def pl_matrix(spark, d):
+    """P&L of the newest 12 months, months as columns by position."""
+    return L.pl_newest(L.monthly_pl(R.monthly_expenses(spark, d)))
+
+
 # ── corporate accounts ──────────────────────────────────────────────────────
 
 _NAME = ("list_extract([" + ", ".join(f"'{w}'" for w in CORPORATE_PREFIXES)
@@ -249,8 +251,9 @@ _ACTUAL_AND_PROJECTED = """select month, kind, sales, lower, upper, strftime(mon
     from (select m as month, '実績' kind, coalesce('¥' || format('{:,}',
                  cast(round_even(cast(y as double), 0) as bigint)), '—') sales,
                  '—' lower, '—' upper
-          from (select unnest(['2001-02-01', '2001-03-01', '2001-04-01', '2001-05-01',
-                               '2001-06-01', '2001-07-01', '2001-08-01']::date[]) m)
+          from (select cast(unnest(generate_series(newest - interval 6 month, newest,
+                                                   interval 1 month)) as date) m
+                from (select max(month) newest from series))
           left join series on month = m
           union all
           select month, '予測', '¥' || format('{:,}', cast(round_even(y, 0) as bigint)),
@@ -262,8 +265,7 @@ _ACTUAL_AND_PROJECTED = """select month, kind, sales, lower, upper, strftime(mon
 def _actual_and_projected(spark, d):
     sales = done(spark, d)
     return P.actual_projection_table(S.monthly_sales(sales),
-                                     P.sales_projection(sales, method="seasonal"),
-                                     "2001-02-01", "2001-08-01")
+                                     P.sales_projection(sales, method="seasonal"))
 
 
 @query(_ACTUAL_AND_PROJECTED, series=_SALES_SERIES)
@@ -273,11 +275,13 @@ def actual_projection_table(spark, d):
 
 @query(" union all ".join(
     f"select '{i}' item, " + ", ".join(
-        f"max({i}) filter (label = '{m}') \"{m}\"" for m in TABLE_LABELS)
-    + " from shown" for i in ("kind", "sales", "lower", "upper")),
-    series=_SALES_SERIES, shown=_ACTUAL_AND_PROJECTED)
+        f"max({i}) filter (place = {m}) p{m}" for m in range(13))
+    + " from placed" for i in ("label", "kind", "sales", "lower", "upper")),
+    series=_SALES_SERIES, shown=_ACTUAL_AND_PROJECTED,
+    placed="select *, row_number() over (order by month, kind) - 1 as place from shown")
 def actual_projection_matrix(spark, d):
-    return P.months_as_columns(_actual_and_projected(spark, d), TABLE_LABELS)
+    """Seven actual and six projected months as columns by position."""
+    return P.table_by_place(_actual_and_projected(spark, d), 13)
 
 
 @query(None)
@@ -355,10 +359,16 @@ def sku_demand_split(spark, d):
 
 
 @query("select category, sku_id, cast(sum(qty) as bigint) total, " + ", ".join(
-    f"max(qty) filter (strftime(month, '%Y/%m') = '{m}') \"{m}\"" for m in AHEAD_LABELS)
-    + " from split group by 1, 2")
+    f"max(qty) filter (place = {i}) p{i}" for i in range(6))
+    + " from split join places using (month) group by 1, 2 union all"
+      " select 'month', null, null, " + ", ".join(
+    f"cast(max(strftime(month, '%Y%m')) filter (place = {i}) as bigint)" for i in range(6))
+    + " from places",
+       places="""select month, row_number() over (order by month) - 1 as place
+           from (select distinct month from split)""")
 def sku_demand_matrix(spark, d):
-    return P.sku_demand_matrix(split(spark, d), AHEAD_LABELS)
+    """Projected months as columns by position."""
+    return P.sku_demand_by_place(split(spark, d))
 
 
 @query("select category, cast(sum(qty) as bigint) qty from split group by 1")

@@ -1,18 +1,23 @@
 """Sales, visitor and table queries over the driver tables."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscope import schemas
 from tillscope.bindings import roles as R
 from tillscope.bindings.oracle import ratio
 from tillscope.bindings.registry import query
 from tillscope.functions.columns import percent_text, signed_percent, sku_label, yen
-from tillscope.operators.periods import date_range, latest_date, trailing_period
+from tillscope.operators.materialize import shared_folder
+from tillscope.operators.periods import date_range, latest_date, period_start, trailing_period
 from tillscope.operators.periods import period_bounds as bounds
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
+from tillscope.plans.lifetime import FirstPurchases
+from tillscope.sources.tables import read_checked
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events")
@@ -169,8 +174,41 @@ def new_repeat_monthly(spark, d):
     from flagged, latest where month >= date_trunc('month', d - interval 24 month)
     group by 1""", period="select * from done")
 def new_repeat_monthly_lifetime(spark, d):
-    heads = A.completed(R.order_heads(spark, d), R.DONE)
-    return A.new_repeat_monthly(two_years(spark, d), history=heads)
+    since = period_start(latest(spark, d), 24)
+    return A.new_repeat_monthly(done(spark, d), since=since)
+
+
+@query("""select month, cast(sum(revenue) as double) total,
+    coalesce(cast(sum(revenue) filter (flag = '新規') as double), 0) "new",
+    coalesce(cast(sum(revenue) filter (flag = 'リピート') as double), 0) "repeat"
+    from flagged, latest where month >= date_trunc('month', d - interval 24 month)
+    group by 1""", period="select * from done")
+def new_repeat_monthly_state(spark, d):
+    """The same from kept first months: years of history as batches, one of them delivered
+    twice, then the period's own lines; only these are split."""
+    lines, at = done(spark, d), F.year("order_date")
+    kept = FirstPurchases(spark, f"{shared_folder(spark)}/first-{uuid.uuid4().hex}")
+    for name, batch in (("old", at < 1995), ("mid", at.between(1995, 1997)), ("new", at > 1997),
+                        ("mid", at.between(1995, 1997))):
+        kept.add(name, lines.where(batch))
+    return A.new_repeat_monthly(two_years(spark, d), history=kept.state())
+
+
+@query("""select count(*) customers, min(first_month) first_month, max(first_month) last_month,
+    count(distinct first_month) as months
+    from (select customer_id, cast(date_trunc('month', min(order_date)) as date) first_month
+          from done where customer_id is not null group by 1)""")
+def first_purchase_state(spark, d):
+    """Kept first months after two batches in the wrong order were put into one part."""
+    lines, early = done(spark, d), F.year("order_date") < 1996
+    folder = f"{shared_folder(spark)}/first-{uuid.uuid4().hex}"
+    kept = FirstPurchases(spark, folder)
+    kept.add("late", lines.where(~early))
+    kept.add("early", lines.where(early))
+    return kept.compacted(folder + "-base").state().agg(
+        F.count("*").alias("customers"), F.min("first_month").alias("first_month"),
+        F.max("first_month").alias("last_month"),
+        F.count_distinct("first_month").alias("months"))
 
 
 @query(f"""select flag, revenue, {ratio('revenue', '(sum(money) over ())')} * 100 share_pct
@@ -379,3 +417,33 @@ def visitor_value_display(spark, d):
     return visit_values(spark, d).select(
         "segment", yen("sales").alias("sales"), F.format_number("uu", 0).alias("uu"),
         yen("uu_unit_price").alias("uu_unit_price"), percent_text("cvr").alias("cvr"))
+
+
+# ── reading files ───────────────────────────────────────────────────────────
+
+
+@query("""select count(*) filter (quantity <> 7) lines,
+    cast(sum(quantity) filter (quantity <> 7) as bigint) pieces,
+    cast(sum(day(order_date)) filter (quantity <> 7) as bigint) as days,
+    count(*) filter (quantity = 7) bad_records, count(distinct quantity % 2) files
+    from lines where sku_id % 10 < 5""")
+def csv_folder(spark, d):
+    """Order lines as a folder of CSV files with two orders of columns; one value in fifty is
+    not a number. Sound and bad records are counted after reading the folder."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    kinds = schemas.TABLES["ec_orders"]
+    given = {"order_id", "customer_id", "sku_id", "order_date", "quantity", "unit_price",
+             "status"}
+    lines = R.order_lines(spark, d).where(F.col("sku_id") % 10 < 5).select(
+        F.col("quantity").alias("pieces"),
+        *[(F.col(c) if c in given else F.lit(1)).cast("string").alias(c) for c in kinds.names])
+    lines = lines.withColumn("quantity", F.when(F.col("pieces") == 7, "seven")
+                             .otherwise(F.col("quantity")))
+    for odd, names in ((0, kinds.names), (1, kinds.names[::-1])):
+        (lines.where(F.col("pieces") % 2 == odd).select(*names).write.mode("append")
+         .option("header", True).csv(f"{path}/ec_orders.csv"))
+    good, bad = read_checked(spark, path, "ec_orders")
+    counts = good.agg(F.count("*").alias("lines"), F.sum("quantity").alias("pieces"),
+                      F.sum(F.dayofmonth("order_date")).alias("days"))
+    return counts.select("*", bad.agg(F.count("record")).scalar().alias("bad_records"),
+                         F.lit(2).cast("long").alias("files"))

@@ -1,6 +1,6 @@
 """Small fixed domains, so that a value without data still gets its row."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,12 @@ def domain(spark: SparkSession, name: str, values) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.inline(rows))
 
 
-def month_domain(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """Column ``month``: every month start from ``first`` to ``last``."""
+def month_domain(spark: SparkSession, first, last) -> DataFrame:
+    """Column ``month``: every month start from ``first`` to ``last``, texts or columns."""
+    first, last = (F.trunc(d if isinstance(d, Column) else F.to_date(F.lit(d)), "MM")
+                   for d in (first, last))
     return spark.range(0, 1, 1, 1).select(F.explode(F.sequence(
-        F.trunc(F.to_date(F.lit(first)), "MM"), F.trunc(F.to_date(F.lit(last)), "MM"),
-        F.expr("interval 1 month"))).alias("month"))
+        first, last, F.expr("interval 1 month"))).alias("month"))
 
 
 def fill_domain(values: DataFrame, df: DataFrame, on: str, zeros=()) -> DataFrame:

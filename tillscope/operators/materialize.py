@@ -1,6 +1,20 @@
-"""Keeping a small intermediate result, for work that reads it many times."""
+"""Keeping intermediate results, for work that reads them many times."""
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, for tables; a local session without one gets a
+    folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tillscope-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:

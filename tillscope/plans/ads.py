@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tillscope.functions.columns import (
     lookup, month_from_label, month_label, month_start, open_ratio, safe_ratio,
     zero_if_null)
+from tillscope.operators.matrix import month_number, newest, with_header
 from tillscope.sources.tables import empty
 
 
@@ -82,6 +83,17 @@ def ad_plan_total(adjusted: DataFrame) -> DataFrame:
     return _plan_sums(adjusted, [])
 
 
+def ad_plan_newest(adjusted: DataFrame, window: int = 12, start: int | None = None) -> DataFrame:
+    """Adjusted cost with channels as rows and ``window`` months as columns ``p0``, ``p1``, ...
+
+    The newest months of the plan, or those from position ``start`` on; the row ``month``
+    tells which, as numbers like 202603.
+    """
+    cells = newest(adjusted.select("channel", "month", "adjusted_cost"), "month", window, start)
+    return with_header(cells, ["channel"], F.sum("adjusted_cost"),
+                       F.max(month_number(F.col("month"))), window)
+
+
 def ad_plan_matrix(adjusted: DataFrame, months) -> DataFrame:
     """Adjusted cost with channels as rows and the given ``yyyy-MM`` months as columns."""
     return (adjusted.groupBy("channel").pivot("month", list(months))

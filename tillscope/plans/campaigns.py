@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.columns import (
     month_label, percent_change, sku_label, yen, zero_if_null)
-from tillscope.operators.daywindows import unfold_days
+from tillscope.operators.daywindows import running_totals, unfold_days, window_sums
 from tillscope.operators.ranking import top_k_per_group
 
 KEYS = ("campaign_id", "campaign_name", "start_date", "end_date")
@@ -39,12 +39,26 @@ def daily_sales(orders: DataFrame, days: DataFrame, *keys) -> DataFrame:
 
 
 def campaign_lift(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Sales of the three phases and the change in percent, 0 if nothing sold before."""
-    days = campaign_days(campaigns)
-    joined = days.join(daily_sales(orders, days), "day", "left")
-    sums = joined.groupBy(*KEYS).agg(*[
-        zero_if_null(F.sum(F.when(F.col("phase") == p, F.col("amount")))).alias(p)
-        for p in ("before", "during", "after")])
+    """Sales of the three phases and the change in percent, 0 if nothing sold before.
+
+    Phases are those of :func:`campaign_days`. Each is the difference of two running totals,
+    so campaigns that are long or overlap cost no more than short ones.
+    """
+    start, end = F.col("start_date"), F.col("end_date")
+    nights = F.datediff(end, start)
+    bounds = {"before": (F.date_sub(start, nights), F.date_sub(start, 1)),
+              "during": (start, end), "after": (F.date_add(end, 1), F.date_add(end, nights))}
+    keyed = campaigns.select(*KEYS).distinct().withColumn("campaign_key", F.struct(*KEYS))
+    # totals begin the day before the first one asked for
+    spans = keyed.where(nights >= 0).agg(
+        F.min(F.date_sub(start, nights + 1)).alias("first"),
+        F.max(F.date_add(end, nights)).alias("last"))
+    first, last = (spans.select(c).scalar() for c in ("first", "last"))
+    at = F.col("order_date")
+    daily = (orders.where((at >= first) & (at < F.date_add(last, 1)))
+             .groupBy(at.cast("date").alias("day")).agg(F.sum("total_amount").alias("amount")))
+    sums = window_sums(keyed, running_totals(daily, first, last), "campaign_key", bounds)
+    sums = sums.select(*KEYS, *[zero_if_null(p).alias(p) for p in bounds])
 
     def lift(phase):
         return F.when(F.col("before") > 0, percent_change(phase, "before")).otherwise(0.0)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tillscope import schemas as S
 from tillscope.functions.columns import open_ratio, sum_of
+from tillscope.operators.matrix import month_number, newest, with_header
 
 
 def monthly_pl(expenses: DataFrame, cost_items=S.COST_ITEMS,
@@ -71,6 +72,21 @@ def pl_items(pl: DataFrame, cost_items=S.COST_ITEMS, revenue: str = S.REVENUE_IT
             .unpivot(["month", "position"], items, "item", "value"))
 
 
+def pl_newest(pl: DataFrame, window: int = 12, start: int | None = None,
+              cost_items=S.COST_ITEMS, revenue: str = S.REVENUE_ITEM) -> DataFrame:
+    """P&L with items as rows and ``window`` months as columns ``p0``, ``p1``, ...
+
+    The newest months, or those from position ``start`` on; the row ``month`` tells which, as
+    numbers like 202603. A month's row occurs once in a P&L; of repeated ones values add up.
+    """
+    items = [revenue, *cost_items, "total_cost", "operating_profit", "margin_pct"]
+    cells = (newest(pl, "month", window, start)
+             .select("month", "place", *[F.col(i).cast("double").alias(i) for i in items])
+             .unpivot(["month", "place"], items, "item", "value"))
+    return with_header(cells, ["item"], F.sum("value"),
+                       F.max(month_number(F.col("month")).cast("double")), window)
+
+
 def pl_matrix(pl: DataFrame, months, cost_items=S.COST_ITEMS,
               revenue: str = S.REVENUE_ITEM) -> DataFrame:
     """P&L with items as rows and the given months as columns."""

@@ -23,6 +23,7 @@ from tillscope import schemas as S
 from tillscope.functions.columns import month_label, month_start, yen, zero_if_null
 from tillscope.operators.domains import month_domain
 from tillscope.operators.materialize import materialize
+from tillscope.operators.matrix import month_number, newest, places_as_columns, with_header
 from tillscope.operators.periods import last_months, latest_date
 from tillscope.operators.salting import join_to_few
 from tillscope.plans.ads import mean_monthly_ad_spend, monthly_ad_spend
@@ -282,13 +283,17 @@ def plan_spend(monthly_plan: DataFrame) -> DataFrame:
 # ── results built on a projection ───────────────────────────────────────────
 
 
-def actual_projection_table(history: DataFrame, projection: DataFrame, first: str,
-                            last: str) -> DataFrame:
+def actual_projection_table(history: DataFrame, projection: DataFrame, first=None,
+                            last=None, months: int = 7) -> DataFrame:
     """Actual months ``first`` to ``last`` and the projected ones, as text in long form.
 
-    Actual months without sales show a dash.
+    Without them the newest ``months`` months of the history. Actual months without sales
+    show a dash.
     """
     dash = F.lit("—")
+    if last is None:
+        last = history.agg(F.max("month")).scalar()
+        first = F.add_months(last, 1 - months)
     months = month_domain(history.sparkSession, first, last)
     actual = (months.join(history.select("month", "revenue"), "month", "left")
               .select("month", F.lit(S.ACTUAL).alias("kind"),
@@ -301,6 +306,19 @@ def actual_projection_table(history: DataFrame, projection: DataFrame, first: st
             .withColumn("label", month_label("month", "yyyy/MM")))
 
 
+def table_by_place(table: DataFrame, width: int) -> DataFrame:
+    """The table above on its side, rows as columns ``p0``, ``p1``, ... in order of month and
+    kind; a month that is both actual and projected has a column for each.
+
+    The row ``label`` names the columns. ``width``: the months shown, of which more are cut.
+    """
+    items = ["label", "kind", "sales", "lower", "upper"]
+    spot = Window.orderBy("month", "kind")  # one row per month shown
+    return places_as_columns(
+        table.withColumn("place", F.row_number().over(spot) - 1).where(F.col("place") < width)
+        .unpivot(["place"], items, "item", "value"), ["item"], F.max("value"), width)
+
+
 def months_as_columns(table: DataFrame, labels) -> DataFrame:
     """Turn the table above on its side: items as rows, ``labels`` as columns."""
     items = ["kind", "sales", "lower", "upper"]
@@ -347,5 +365,15 @@ def sku_demand_matrix(split: DataFrame, labels) -> DataFrame:
             .agg(F.first("qty")).orderBy("category", F.desc("total"), "sku_id"))
 
 
+def sku_demand_by_place(split: DataFrame, window: int = 6) -> DataFrame:
+    """SKUs as rows and the first ``window`` projected months as columns ``p0``, ``p1``, ...
+
+    The row whose category is ``month`` tells which months, as numbers like 202603.
+    """
+    cells = newest(split.select("category", "sku_id", "total", "month", "qty"), "month", window, 0)
+    return with_header(cells, ["category", "sku_id", "total"], F.sum("qty"),
+                       F.max(month_number(F.col("month"))), window)
+
+
 def category_demand_total(split: DataFrame) -> DataFrame:
     return split.groupBy("category").agg(F.sum("qty").alias("qty")).orderBy("category")

@@ -130,7 +130,8 @@ def customer_months(orders: DataFrame, history: DataFrame | None = None) -> Data
     """Sums per customer and month, flagged new or repeat.
 
     A month is new when it is the customer's first one in ``orders``, or in
-    ``history`` when the uncut lines are given. Lines without a customer count as
+    ``history`` when the uncut lines are given, or first months kept from them
+    (``customer_id``, ``first_month``; see ``first_purchase`` and ``plans.lifetime``). Lines without a customer count as
     repeat. ``leads`` marks the first row of a customer under a flag, so counting it
     counts customers. Only these compact rows are sorted per customer.
     """
@@ -146,7 +147,8 @@ def customer_months(orders: DataFrame, history: DataFrame | None = None) -> Data
     if history is None:
         cube = cube.withColumn("first_month", F.min("month").over(by_customer))
     else:
-        cube = cube.join(first_purchase(history), "customer_id", "left")
+        first = history if "first_month" in history.columns else first_purchase(history)
+        cube = cube.join(first.select("customer_id", "first_month"), "customer_id", "left")
     is_new = F.col("customer_id").isNotNull() & (F.col("month") == F.col("first_month"))
     leads = F.row_number().over(Window.partitionBy("customer_id", "flag").orderBy("month"))
     return (cube.withColumn("flag", F.when(is_new, S.NEW).otherwise(S.REPEAT))
@@ -154,11 +156,17 @@ def customer_months(orders: DataFrame, history: DataFrame | None = None) -> Data
                         .cast("long")))
 
 
-def new_repeat_monthly(orders: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Revenue by month: total, from new and from repeat customers."""
+def new_repeat_monthly(orders: DataFrame, history: DataFrame | None = None,
+                       since: Column | None = None) -> DataFrame:
+    """Revenue by month: total, from new and from repeat customers.
+
+    ``since``: shows the months from that day on only; ``orders`` before it still tell who
+    is new, and are read in the same pass.
+    """
     def of(flag):
         return zero_if_null(F.sum(F.when(F.col("flag") == flag, F.col("revenue"))))
-    return (customer_months(orders, history).where(F.col("month").isNotNull())
+    shown = F.col("month").isNotNull() if since is None else F.col("month") >= since
+    return (customer_months(orders, history).where(shown)
             .groupBy("month")
             .agg(zero_if_null(F.sum("revenue")).alias("total"),
                  of(S.NEW).alias("new"), of(S.REPEAT).alias("repeat"))
