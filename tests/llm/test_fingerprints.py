@@ -207,6 +207,29 @@ def test_next_document_and_edit(odd, nothing):
     assert order_minhash.compared_with_next(nothing).count() == 0
 
 
+def test_texts_without_blanks_go_by_characters(spark):
+    rng = np.random.default_rng(4)
+    text = "".join(chr(0x3042 + int(i)) for i in rng.integers(0, 80, 480))
+    edits = [text, text[:200] + "x" + text[201:], text[:200] + text[201:], text[240:] + text[:240],
+             "".join(rng.permutation(list(text))), "A" * 100 + text[:50]]
+    df = order_minhash.fingerprinted(
+        spark.createDataFrame([(i, t) for i, t in enumerate(edits)], "i int, text string"))
+    whole, changed, cut, moved, mixed, other = [r.fingerprint for r in df.orderBy("i").collect()]
+    assert len(set(whole)) > 50
+
+    def near(x):
+        return sum(a == b for a, b in zip(whole, x)) / len(whole)
+    assert near(changed) > 0.9 and near(cut) > 0.9
+    assert 0.2 < near(moved) < 0.9 and near(mixed) < 0.2 and near(other) < 0.5
+
+
+def test_fingerprints_are_texts(odd):
+    got = order_minhash.compared_with_next(odd)
+    assert dict(got.dtypes)["fingerprint"] == dict(got.dtypes)["edited_fingerprint"] == "string"
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[4].fingerprint == "" and re.fullmatch("[0-9a-f]{512}", by[1].fingerprint)
+
+
 def test_order_counts(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words), " ".join(words[200:] + words[:200]), " ".join(reversed(words))]
@@ -271,3 +294,15 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         assert [tuple(g) for g in got if g[1] == want[g[0]][1]] == \
             [w for g, w in zip(got, want) if g[1] == w[1]]
     assert hyperplanes.linked_vectors(df.limit(0)).count() == 0
+
+
+def test_near_dedup_tells_rows_apart_by_key_and_text(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta"), (1, "one two three four five six seven"),
+            (None, "red orange yellow green blue indigo violet"),
+            (None, "red orange yellow green blue indigo violet"), (None, "north east south west up down"),
+            (2, "north east south west up down"), (3, "x y z"), (3, "x y z"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(docs).collect()), key=str)
+    assert [g for g in got if g[1]] == sorted(
+        [rows[0], rows[1], rows[2], rows[5], rows[6]], key=str)
+    assert len([g for g in got if not g[1]]) == 1

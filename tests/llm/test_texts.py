@@ -240,11 +240,10 @@ def test_pieces_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     fast = Encoder(tokenizer_path())
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list(" \n\ta1'é,　x"), rng.integers(0, 14))) for _ in range(4000)]
-    texts += ["a  b", " ", "it's 12 km<|endoftext|> ", "x" * 500, "  a", "日本語 テスト 😀 "]
+    texts += ["a  b", " ", "it's 12 km<|endoftext|> ", " <|endoftext|>\n x<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 500, "  a", "日本語 テスト 😀 "]
     for t in texts:
         assert np.frombuffer(fast.encode(t), "<u4").tolist() == \
             slow.encode(t, add_special_tokens=False).ids, repr(t)
@@ -276,3 +275,48 @@ def test_counts_of_odd_rows(crowded):
     got = rollup.counted(crowded).collect()
     assert len(got) == len(ROWS)
     assert {r.doc_id: r.tokens for r in got}[3] == 0
+
+
+def test_copies_keep_apart_in_windows():
+    rng = np.random.default_rng(2)
+    texts = [np.append(rng.integers(1, 40, rng.integers(5, 30)), 0) for _ in range(120)]
+    docs = [texts[i] for i in rng.permutation(np.repeat(np.arange(120), 3))]
+    pieces = packing.packed_shard(docs, 128)
+    windows: dict = {}
+    for doc, _, _, sequence, _ in pieces:
+        windows.setdefault(sequence, []).append(doc)
+    twice = sum(len(w) - len({docs[d].tobytes() for d in set(w)}) for w in windows.values()
+                if len(set(w)) == len(w))
+    assert twice <= 8  # at the very end, where nothing but copies is free
+    same = packing.packed_shard([texts[0]] * 9, 64)  # nothing but copies
+    assert sum(p[2] for p in same) == 9 * len(texts[0])
+
+
+def test_stage_cuts_planted_lines_and_keeps_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+
+    def doc(n=12):
+        return [" ".join(f"w{i}" for i in rng.integers(0, 5000, 9)) for _ in range(n)]
+    copied, rows = doc(), []
+    for source, n in (("small", 300), ("hot", 2000)):
+        for i in range(n):
+            text = doc()
+            if i % 50 == 0:
+                text[int(rng.integers(0, 12))] = "Subscribe to our newsletter"
+            rows.append((len(rows), "\n".join(text), "en", source, 0))
+        for i in range(n // 5):  # copies, half of them with one line changed
+            text = list(copied)
+            if i % 2:
+                text[int(rng.integers(0, 12))] = doc(1)[0]
+            rows.append((len(rows), "\n".join(text), "en", source, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                                 "n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert len(got) == len(rows)
+    lost = 0
+    for i, text, *_ in rows:
+        want = "\n".join(x for x in text.split("\n") if x != "Subscribe to our newsletter")
+        lost += got[i] != want
+    assert lost == 0

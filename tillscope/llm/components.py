@@ -13,17 +13,18 @@ def _state(edges: DataFrame):
     return row[0], row[1]
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, of every node in ``a`` or ``b``.
 
     Only sums and minima per node and joins on nodes move; each round is written to the shared
-    folder. Two rounds suffice for stars, a chain of n nodes takes about log n. Loops, repeated
+    folder, until one changes nothing. Two rounds suffice for stars, a chain of n nodes takes about
+    log n. Loops, repeated
     and null-free edges in either direction are fine; an edge to itself gives no node.
     """
     edges = written(edges.filter("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
-    for _ in range(rounds):
+    while True:
         # large star: larger neighbours of a node move to its smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")) \

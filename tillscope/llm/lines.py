@@ -16,6 +16,7 @@ from tillscope.llm.base import fresh, written
 
 RATIO = 0.1      # share of a host's pages above which a line is boilerplate
 LEAST_PAGES = 3  # pages of the host that must hold it
+UNLIKE = 0.3     # share of unlike pages among those that hold it, where these are asked for
 
 
 def lines_of_text(text: Column) -> Column:
@@ -32,31 +33,44 @@ def lines_of_html(html: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, lines: Column, host: str, ratio: float = RATIO,
-                least: int = LEAST_PAGES) -> DataFrame:
+                least: int = LEAST_PAGES, unlike: bool = False) -> DataFrame:
     """``host`` and ``bad``, its boilerplate lines; one row per host that has any.
 
     A line counts once per page, trimmed; blank lines never count. A null host is a site like
-    any other. Only sums by host and line are shuffled.
+    any other. Only sums by host and line are shuffled. ``unlike``: pages whose least line hash
+    is the same, as copies of a page and most near copies have, count as one page for a line,
+    and they must be ``UNLIKE`` of the pages that hold it; so a page that was copied often does
+    not lose its lines. Sums by host, line and that hash are shuffled then.
     """
     slim = pages.select(F.col(host).alias("host"), F.array_distinct(F.transform(
         lines, lambda x: F.trim(x))).alias("lines"))
     totals = slim.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = (slim.select("host", F.explode("lines").alias("line")).filter("line != ''")
-              .groupBy("host", "line").agg(F.count("*").alias("holding"))
-              .filter(F.col("holding") >= least))
+    if unlike:
+        slim = slim.withColumn("sign", F.array_min(F.transform("lines", lambda x: F.xxhash64(x))))
+        counts = (slim.select("host", "sign", F.explode("lines").alias("line"))
+                  .filter("line != ''").groupBy("host", "line", "sign").count()
+                  .groupBy("host", "line")
+                  .agg(F.count("*").alias("holding"), F.sum("count").alias("all"))
+                  .filter(F.col("holding") >= F.lit(UNLIKE) * F.col("all")).drop("all"))
+    else:
+        counts = (slim.select("host", F.explode("lines").alias("line")).filter("line != ''")
+                  .groupBy("host", "line").agg(F.count("*").alias("holding")))
+    counts = counts.filter(F.col("holding") >= least)
     return (counts.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
             .filter(F.col("holding") > F.lit(ratio) * F.col("pages"))
             .groupBy("host").agg(F.collect_list("line").alias("bad")))
 
 
 def dropped(pages: DataFrame, lines: Column, host: str, kept: str = "kept",
-            count: str = "dropped", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
-    """``pages`` with ``kept``, their lines without boilerplate, and ``count`` of lines dropped.
+            count: str = "dropped", ratio: float = RATIO, least: int = LEAST_PAGES,
+            unlike: bool = False) -> DataFrame:
+    """``pages`` with ``kept``, their lines without boilerplate, and ``count`` of lines dropped;
+    columns of those names are replaced.
 
     Null texts have no line; a page whose lines all go keeps an empty list and stays a row.
     Repeated rows count as pages of their own; an empty table gives no rows.
     """
-    bad = written(boilerplate(pages, lines, host, ratio, least))
+    bad = written(boilerplate(pages, lines, host, ratio, least, unlike))
     name, own = fresh("bad", pages), fresh("own", pages)
     bad = bad.withColumnRenamed("bad", name).withColumnRenamed("host", own)
     out = (pages.join(bad, F.col(host).eqNullSafe(F.col(own)), "left").drop(own)

@@ -1,6 +1,7 @@
 """Order MinHash: fingerprints of texts that react to the order of their words.
 
-A text is its sequence of words. Every k-mer (run of k words) is numbered by its occurrence,
+A text is its sequence of words, or of characters where words are as long as in texts that are
+written without blanks. Every k-mer (run of k words) is numbered by its occurrence,
 so repeats count. All numbered k-mers of a text lie on a ring by their hash; each of ``size``
 evenly spaced marks, one ordering each, selects the ``pick`` k-mers that follow it. The
 selected k-mers are put back into text order and hashed as a tuple. The share of marks at
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tillscope.llm.base import fresh, text_of, written
 
 K, SIZE, PICK = 2, 64, 2
+WORDLESS = 20  # characters for each word above which a text is taken by characters
 NOTHING = "cast(array() as array<bigint>)"
 
 
@@ -35,8 +37,9 @@ def _sketch(df: DataFrame, text: str, out: str, k: int, size: int, pick: int) ->
     low = f"(shiftleft(1L, {b}) - 1)"
     ngram = ", ".join(f"{w}[i + {j}]" for j in range(k))
     steps = [
-        ("w", f"transform(array_remove(split(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+'), ''), "
-              "x -> xxhash64(x))"),
+        ("w", f"array_remove(split(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+'), '')"),
+        ("w", f"transform(case when char_length(`{text}`) > {WORDLESS} * size({w}) and "
+              f"size({w}) > 0 then split(`{text}`, '') else {w} end, x -> xxhash64(x))"),
         # hashes of the k-mers, at their position
         ("a", f"case when size({w}) = 0 then {NOTHING} when size({w}) < {k} "
               f"then array(xxhash64({w})) else transform(sequence(0, size({w}) - {k}), "
@@ -115,8 +118,8 @@ def compared_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Half of the code points, rounded down, are replaced. Null ids sort first. Rows with equal
     id and text are one document, each of the rows has its result; rows with equal id and
-    unequal text follow each other by a hash of the text. One row is its own next. Columns
-    out: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    unequal text follow each other by a hash of the text. One row is its own next. Fingerprints
+    are texts of eight hex digits a place, of an empty text empty. Columns out: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     own = docs.select(
         F.struct(F.col(key).alias("id"), F.xxhash64(text_of(text)).alias("h")).alias("k"),
@@ -124,24 +127,33 @@ def compared_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = written(neighbours(
         own.select("k", F.char_length("text").alias("n")).distinct(), "k"))
     half = F.expr("n div 2")
-    # the beginnings that documents lend to the one before them
+    # the beginnings that documents lend to the one before them, and who lends
     lent = (order.select(F.col("next").alias("k"), F.col("k").alias("to"), half.alias("half"))
             .join(own, "k")
-            .select("to", F.expr("substring(text, 1, half)").alias("tail"))
-            .groupBy("to").agg(F.first("tail").alias("tail")))
+            .select("to", F.col("k").alias("next"), F.expr("substring(text, 1, half)").alias("tail"))
+            .groupBy("to").agg(F.first("tail").alias("tail"), F.first("next").alias("next")))
     rows = (own.join(lent.withColumnRenamed("to", "k"), "k")
             .withColumn("n", F.char_length("text"))
             .withColumn("edited", F.expr("concat(substring(text, 1, n - n div 2), tail)")))
     both = _sketch(_sketch(rows, "text", "fingerprint", k, size, pick),
                    "edited", "edited_fingerprint", k, size, pick)
+    # half of each hash is kept: they meet once more
     out = written(both.select(
-        "k", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint"))
+        "k", "next", F.col("n").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        *[F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c)
+          for c in ("fingerprint", "edited_fingerprint")]))
     prints = out.select(F.col("k").alias("next"), F.col("fingerprint").alias("theirs")) \
         .dropDuplicates(["next"])
-    return (out.join(order.select("k", "next"), "k").join(prints, "next")
-            .select(F.col("k.id").alias(key), "n_chars", "edited_sha256", "fingerprint",
-                    "edited_fingerprint",
-                    likeness(F.col("fingerprint"), F.col("edited_fingerprint"))
-                    .alias("near_edited"),
-                    likeness(F.col("fingerprint"), F.col("theirs")).alias("near_next")))
+    return out.join(prints, "next").select(
+        F.col("k.id").alias(key), "n_chars", "edited_sha256", as_text("fingerprint"),
+        as_text("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("theirs")).alias("near_next"))
+
+
+def as_text(hashes: str) -> Column:
+    """32-bit hashes as one text of eight hex digits each."""
+    digits = F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(
+        x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+    return F.array_join(digits, "").alias(hashes)

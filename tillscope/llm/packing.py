@@ -2,8 +2,8 @@
 
 Documents are dealt to shards of bounded size by content: a tree of planes, fitted to a sample,
 cuts the space of term vectors where few documents lie, so a shard holds documents that share
-heavy terms however many documents there are. A shard that grows too large, as of copies, is
-split at random. A shard holds a BM25 inverted index over its documents' token ids, weighed by
+heavy terms however many documents there are. A shard that grows too large, as of copies or of
+long texts, is split at random. A shard holds a BM25 inverted index over its documents' token ids, weighed by
 the frequencies in the whole table. A seed
 document opens a window; the index returns its unused neighbours, best first, which fill the
 window. A document that does not fit is cut, and its rest seeds the next window, so all windows
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.base import written
 from tillscope.llm.groups import whole_runs
-from tillscope.llm.tokens import encoder, tokenizer_path
+from tillscope.llm.tokens import SPECIAL, encoder, tokenizer_path
 
 WINDOW = 1024
 END = 0            # id behind every document
@@ -64,7 +64,7 @@ class Index:
         many = np.flatnonzero(df > max(8, n // 8))
         column[many] = np.arange(len(many))
         dense = column[term] >= 0
-        self.table = np.zeros((n, len(many)))
+        self.table = np.zeros((n, len(many)), np.float32)
         self.table[doc[dense], column[term[dense]]] = score[dense]
         rare = ~dense & (df[term] > 1)
         self.doc, self.score = doc[rare], score[rare]
@@ -76,7 +76,7 @@ class Index:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """BM25 scores of all documents for the seed's terms."""
-        out = self.table @ (self.table[seed] > 0)
+        out = (self.table @ (self.table[seed] > 0).astype(np.float32)).astype(np.float64)
         t = self.terms[seed]
         count = self.count[t]
         at = np.repeat(self.first[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
@@ -87,9 +87,14 @@ def packed_shard(docs: list[np.ndarray], window: int = WINDOW, weight: np.ndarra
                  mean: float | None = None):
     """Pieces (document, start, length, sequence, offset) that cover all documents.
 
-    ``docs``: ids of each document, the end id included, so none is empty.
+    ``docs``: ids of each document, the end id included, so none is empty. Of equal scores the
+    first document is taken. Copies of a document that a window holds do not join it while any
+    other document is free.
     """
     index = Index([d[:-1] for d in docs], weight, mean)
+    known: dict[bytes, int] = {}
+    content = np.array([known.setdefault(d.tobytes(), len(known)) for d in docs], np.int64)
+    held = np.zeros(len(docs), bool)  # documents equal to one in the open window
     free = np.ones(len(docs), bool)
     following = 0  # the first document that may be unused
     pieces, sequence, filled, seed, scores = [], 0, 0, None, None
@@ -98,7 +103,7 @@ def packed_shard(docs: list[np.ndarray], window: int = WINDOW, weight: np.ndarra
         if filled and seed is not None:
             if scores is None:
                 scores = index.neighbours(seed)
-                scores[~free] = 0
+                scores[~free | held] = 0
             best = int(scores.argmax())
             if scores[best] <= 0:
                 best = -1
@@ -106,10 +111,13 @@ def packed_shard(docs: list[np.ndarray], window: int = WINDOW, weight: np.ndarra
             while not free[following]:
                 following += 1
             best, scores = following, None
+            if held[best] and (other := free & ~held).any():
+                best = int(other.argmax())
             seed = best
         free[best] = False
+        held |= content == content[best]
         if scores is not None:
-            scores[best] = 0
+            scores[held] = 0
         start, size = 0, len(docs[best])
         while start < size:
             take = min(size - start, window - filled)
@@ -119,6 +127,7 @@ def packed_shard(docs: list[np.ndarray], window: int = WINDOW, weight: np.ndarra
             if filled == window:
                 sequence, filled = sequence + 1, 0
                 seed, scores = (best, None) if start < size else (None, None)
+                held = content == (content[best] if start < size else -1)
     if filled & (filled - 1):
         pieces = _at_powers(pieces, sequence, filled)
     return pieces
@@ -226,43 +235,50 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     keys too. An empty table gives no rows.
     """
     path = path or tokenizer_path()
-    end = np.array([END], "<u4").tobytes()
     with open(path, "rb") as ranks:
         # two bytes an id between the steps where the vocabulary allows it
-        code = "<u2" if max(int(x.split()[1]) for x in ranks if x.strip()) < 1 << 16 else "<u4"
+        last = max(*(int(x.split()[1]) for x in ranks if x.strip()), *SPECIAL.values())
+    code = "<u2" if last < 1 << 16 else "<u4"
+    end = np.array([END], code).tobytes()
 
     def encoded(batches):
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
-                ids = [np.frombuffer(encoder(path).encode(t) + end, "<u4").astype(code).tobytes()
-                       for t in batch.column(2).to_pylist()]
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                ids = [encoder(path).ids(t) for t in batch.column(2).to_pylist()]
+                # documents of these that hold each term, with the first of them
+                term, df = np.unique(np.concatenate([np.unique(i) for i in ids]),
+                                     return_counts=True)
+                rest = [None] * (len(ids) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(ids, pa.binary())],
-                    names=["id", "row", "ids"])
+                    [batch.column(0), batch.column(1),
+                     pa.array([i.astype(code).tobytes() + end for i in ids], pa.binary()),
+                     pa.array([len(i) for i in ids], pa.int64()),
+                     pa.array([term.astype("<u4").tobytes(), *rest], pa.binary()),
+                     pa.array([df.astype("<u4").tobytes(), *rest], pa.binary())],
+                    names=["id", "row", "ids", "tokens", "terms", "df"])
 
     kind = dict(docs.dtypes)[key]
     known = written(docs.select(
         F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"),
-        F.col(text).alias("text")).mapInArrow(encoded, f"id {kind}, row long, ids binary"))
+        F.col(text).alias("text")).mapInArrow(
+            encoded, f"id {kind}, row long, ids binary, tokens long, terms binary, df binary"))
 
     def frequencies(batches):
-        encoder.cache_clear()  # what it remembers is not needed any more
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                one = np.bincount(np.unique(np.frombuffer(raw, code)[:-1]))
-                if len(one) > len(total):
-                    one[:len(total)] += total
-                    total = one
-                else:
-                    total[:len(one)] += one
+            for term, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one = np.bincount(np.frombuffer(term, "<u4"), np.frombuffer(df, "<u4"),
+                                  len(total)).astype(np.int64)
+                one[:len(total)] += total
+                total = one
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])],
                                          names=["term", "df"])
 
-    n, tokens = known.agg(F.count("*"), F.sum(F.octet_length("ids") / int(code[-1]) - 1)).first()
-    counted = known.select("ids").mapInArrow(frequencies, "term long, df long") \
+    n, tokens = known.agg(F.count("*"), F.sum("tokens")).first()
+    counted = known.select("terms", "df").filter("terms is not null") \
+        .mapInArrow(frequencies, "term long, df long") \
         .groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(int(counted["term"].max()) + 1 if len(counted) else 1)
     df[counted["term"]] = counted["df"]
@@ -272,23 +288,28 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for batch in batches:
             rows = [np.frombuffer(r, code)[:-1] for r in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v.tobytes() for v in vectors(rows, weight)], pa.binary())],
-                names=["v"])
+                [pa.array([v.tobytes() for v in vectors(rows, weight)], pa.binary()),
+                 pa.array([len(r) for r in rows], pa.int64())], names=["v", "tokens"])
 
     shards = max(1, math.ceil(n / shard))
     tree, parts = None, np.ones(1, np.int64)
     if shards > 1:
         share = min(1.0, min(SAMPLE, PER_SHARD * shards + 2_000) / n)
         some = known.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        sample = some.select("ids").mapInArrow(sketched, "v binary").toPandas()["v"]
-        sample = np.frombuffer(b"".join(sample), np.float32).reshape(-1, DIMENSIONS)
+        sample = some.select("ids").mapInArrow(sketched, "v binary, tokens long").toPandas()
+        held = sample["tokens"].to_numpy()
+        sample = np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, DIMENSIONS)
         tree = fitted(sample, shards)
-        # leaves that the sample shows to be large are split at random
-        size = np.bincount(leaf_of(sample, tree)) * (n / max(1, len(sample)))
-        parts = np.where(size > 1.5 * shard, np.ceil(size / shard), 1).astype(np.int64)
+        # leaves that the sample shows to be large are split at random: into the mean number of
+        # documents, and of tokens no more than two shards have on average
+        leaf = leaf_of(sample, tree)
+        scale = n / max(1, len(sample))
+        size = np.bincount(leaf) * scale
+        most = np.bincount(leaf, held) * scale / (2 * shard * max(1, mean))
+        parts = np.maximum(np.where(size > 1.5 * shard, np.ceil(size / shard), 1),
+                           np.ceil(most)).astype(np.int64)
 
     def leaves(batches):
-        encoder.cache_clear()
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
@@ -297,25 +318,24 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                     [pa.array(leaf_of(vectors(rows, weight), tree)), *batch.columns],
                     names=["leaf", *batch.schema.names])
 
-    dealt = known.mapInArrow(leaves, f"leaf long, id {kind}, row long, ids binary")
+    dealt = known.select("id", "row", "ids").mapInArrow(leaves, f"leaf long, id {kind}, row long, ids binary")
     salt = F.pmod(F.xxhash64("id", "row"), F.get(F.lit(parts.tolist()), F.col("leaf").cast("int")))
     dealt = dealt.select((F.col("leaf") * (1 << 16) + salt).alias("key"), "id", "row", "ids")
 
     def run(batches):
-        encoder.cache_clear()
         for table in whole_runs(batches):
             number = table.column("key").to_numpy()
             cut = np.flatnonzero(np.diff(number)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(number)]):
                 group = table.slice(a, b - a)
-                ids = [np.frombuffer(r, code).astype("<u4") for r in group.column("ids").to_pylist()]
-                raw = [i.tobytes() for i in ids]
+                ids = [np.frombuffer(r, code) for r in group.column("ids").to_pylist()]
                 doc, start, length, sequence, offset = np.array(
                     packed_shard(ids, window, weight, mean), np.int64).T
                 yield pa.RecordBatch.from_arrays([
                     group.column("id").combine_chunks().take(pa.array(doc)), pa.array(start),
-                    pa.array(length), pa.array([raw[d][4 * s:4 * (s + n)] for d, s, n in zip(
-                        doc.tolist(), start.tolist(), length.tolist())], pa.binary()),
+                    pa.array(length), pa.array([
+                        ids[d][s:s + n].astype("<u4").tobytes() for d, s, n in zip(
+                            doc.tolist(), start.tolist(), length.tolist())], pa.binary()),
                     pa.array(np.array([len(i) for i in ids])[doc]),
                     pa.array(sequence + (int(number[a]) << 24)), pa.array(offset)],
                     names=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.base import written
+from tillscope.llm.base import fresh, written
 from tillscope.llm.components import components
 from tillscope.llm.groups import runs, smallest_labels, whole_runs
 
@@ -275,8 +275,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     three standard deviations of it are proposed, and only pairs whose shingle sets do have
     the similarity are links. A class of equal fingerprints has one text in the comparison;
     it proposes all pairs of small buckets, in large ones each class's 16 nearest of every
-    table. The row with the smallest key stays. Rows are told apart
-    by their key: of those with one key a single row stays; those without a key all stay.
+    table. The row with the smallest key stays, of equal keys that with the smallest hash of
+    its text; a row without a key stays if its group has no key. Rows are told apart by key and
+    text: different texts with one key are different documents, rows equal in both are copies.
     """
     cosine = 2 * similarity / (1 + similarity)
     differing = math.acos(cosine) / math.pi
@@ -297,8 +298,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     shingles = written(_shingled(texts, size).dropDuplicates(["fp"]))
     roots = components(verified(pairs, shingles, similarity))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left") \
-        .select("id", F.coalesce("root", "fp").alias("root"))
-    keep = written(rooted.groupBy("root").agg(F.min("id").alias(key)).select(key)
-                   .filter(F.col(key).isNotNull()).distinct())
-    once = docs.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return once.join(keep, key, "left_semi").union(docs.filter(F.col(key).isNull()))
+        .select("id", "h", F.coalesce("root", "fp").alias("root"))
+    own, hashed = fresh("own", docs), fresh("hashed", docs)
+    keep = written(rooted.groupBy("root").agg(least.alias("k")).select(
+        F.col("k.id").alias(own), F.col("k.h").alias(hashed + "_")))
+    return (docs.withColumn(hashed, F.xxhash64(text))
+            .join(keep, F.col(key).eqNullSafe(F.col(own))
+                  & (F.col(hashed) == F.col(hashed + "_")), "left_semi")
+            .dropDuplicates([key, hashed]).drop(hashed))

@@ -1,9 +1,8 @@
-"""Token ids of whole texts by a public byte-level BPE, with a bounded memory of pieces.
+"""Token ids of whole texts by a public byte-level BPE.
 
-The vocabulary's pre-tokenizer never joins a blank to what stands before it, so a text may be
-cut in front of every single blank and each piece be encoded on its own. Pieces (words, mostly)
-repeat, so a worker encodes a piece once while it remembers it. Pieces are encoded from the
-rank file of the same vocabulary, whose library is the faster one; ids are equal (tested).
+Texts are encoded from the rank file of the vocabulary, by the library that writes ids straight
+into a buffer; ids are those of the vocabulary's tokenizer file, special tokens included
+(tested). Nothing is remembered between texts, so a worker's memory is that of the vocabulary.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 RANKS = "byte_bpe_50k.tiktoken"
-PIECES = 500_000  # encoded pieces that a worker keeps
-LONGEST = 64      # longer pieces are not kept
+SPECIAL = {"<|endoftext|>": 50256}  # fixed values: special tokens of that vocabulary
 
 
 def tokenizer_path(name: str = RANKS) -> str:
@@ -24,47 +22,27 @@ def tokenizer_path(name: str = RANKS) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit numbers."""
-
+class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
-        super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN,
-                                     mergeable_ranks=ranks, special_tokens={})
+                                     mergeable_ranks=ranks, special_tokens=SPECIAL)
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = np.array(self.bpe.encode_ordinary(piece), "<u4").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = raw
-        return raw
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of the whole text, unsigned 32-bit; null and empty texts have none."""
+        return self.bpe.encode_to_numpy(text, allowed_special="all") if text else \
+            np.empty(0, np.uint32)
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of the whole text; null and empty texts have none."""
-        if not text:
-            return b""
-        first, *parts = text.split(" ")
-        if all(parts) and not any(map(str.isspace, [p[0] for p in parts])):
-            pieces = [first, *[" " + p for p in parts]]
-        else:
-            # a blank next to other white space stays in the piece in front of it
-            pieces, after_blank = [first], False
-            for p in parts:
-                if after_blank or not p or p[0].isspace():
-                    pieces[-1] += " " + p
-                else:
-                    pieces.append(" " + p)
-                after_blank = not p
-        return b"".join(map(self.__getitem__, pieces))
+        """The same as little-endian bytes."""
+        return self.ids(text).astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder; what it remembers serves its later tasks too."""
+    """The worker's encoder, loaded once."""
     return Encoder(path)
