@@ -157,8 +157,7 @@ def test_folder_of_csv_files(spark, tmp_path):
     good, bad = read_checked(spark, str(tmp_path), "ec_orders")
     assert rows(good.orderBy("quantity"), "quantity") == [(i,) for i in range(1, 6)]
     assert good.count() == 5 and bad.count() == 3
-    found = {r.record.split(",")[0]: r for r in bad.collect()}
-    assert any("six" in r.record and r.file.endswith("e.csv") for r in found.values())
+    assert any("six" in r.record and r.file.endswith("e.csv") for r in bad.collect())
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|parse|CAST"):
         read_table(spark, str(tmp_path), "ec_orders", "csv").collect()
     order_csv(tmp_path, "g.csv", names[1:], [record(9)])
