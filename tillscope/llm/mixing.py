@@ -47,13 +47,15 @@ def targets(sizes: DataFrame, weigh, share: float = 1.0, most: float = 3.0) -> D
     weighed = weigh(sizes).withColumn("cap", F.col("source_size") * F.lit(most))
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     level = weighed.select(
         "*",
         ((F.sum("source_size").over(everything) * F.lit(share)
           - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-         / F.sum("weight").over(after)).alias("level"))
+         # weights from here on: a running sum taken from the whole, as sums that run to the
+         # end would be added up anew for every source
+         / (F.sum("weight").over(everything)
+            - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))).alias("level"))
     open_ = F.col("level") * F.col("weight") <= F.col("cap")
     free = level.withColumn(
         "free", F.max(F.when(open_, F.col("level"))).over(everything))

@@ -75,8 +75,12 @@ class Rollup:
 
 def counted(docs: DataFrame, text: str = "text", out: str = "tokens",
             path: str | None = None) -> DataFrame:
-    """``docs`` with the number of tokens of each whole text in its place; null: 0."""
+    """``docs`` with the number of tokens of each whole text in its place; null: 0.
+
+    Another column that is called ``out`` is left out.
+    """
     path = path or tokenizer_path()
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c == text or c.lower() != out.lower()])
     where = docs.columns.index(text)
 
     def run(batches):
