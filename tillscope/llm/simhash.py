@@ -119,13 +119,8 @@ def _words(column) -> np.ndarray:
     return flat.reshape(len(raw), -1)
 
 
-def _links(fp: np.ndarray, start: np.ndarray, end: np.ndarray, distance: int,
-           nearest: int | None = None):
-    """Index pairs whose links connect what links within the runs connect.
-
-    ``nearest``: of runs above ``2 * BUCKET`` rows each row's that many nearest rows instead,
-    among 4,096 in a row; of smaller runs always all pairs.
-    """
+def _links(fp: np.ndarray, start: np.ndarray, end: np.ndarray, distance: int):
+    """Index pairs whose links connect what links within the runs connect."""
     rng = np.random.default_rng(SEED)
     pivots = rng.integers(0, 2 ** 64, (PIVOTS, fp.shape[1]), dtype=np.uint64)
     table = np.stack([np.bitwise_count(fp ^ p).sum(1, dtype=np.int16) for p in pivots], 1)
@@ -148,18 +143,6 @@ def _links(fp: np.ndarray, start: np.ndarray, end: np.ndarray, distance: int,
         i = np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         out.append(near(i, i + d))
     for s, e in zip(start[~small], end[~small]):
-        if nearest:
-            for a in range(s, e, 2048):
-                z = min(e, a + 4096)  # tiles overlap by half
-                for one in range(a, min(z, a + 2048) if z < e else z):
-                    apart = np.bitwise_count(fp[a:z] ^ fp[one]).sum(1, dtype=np.int64)
-                    apart[one - a] = distance + 1
-                    hit = np.argpartition(apart, min(nearest, z - a) - 1)[:nearest]
-                    hit = hit[apart[hit] <= distance] + a
-                    out.append((hit, np.full(len(hit), one)))
-                if z == e:
-                    break
-            continue
         rest = np.arange(s, e)
         while len(rest):
             todo, rest = [rest[0]], rest[1:]
@@ -174,12 +157,8 @@ def _links(fp: np.ndarray, start: np.ndarray, end: np.ndarray, distance: int,
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def linked(classes: DataFrame, tables: list[np.ndarray], distance: int,
-           nearest: int | None = None) -> DataFrame:
-    """Edges ``a``, ``b`` between fingerprints ``fp`` that connect what links connect.
-
-    ``nearest``: the pairs themselves instead, see ``_links``, for verification by text.
-    """
+def linked(classes: DataFrame, tables: list[np.ndarray], distance: int) -> DataFrame:
+    """Edges ``a``, ``b`` between fingerprints ``fp`` that connect what links connect."""
     def keys(batches):
         for batch in batches:
             raw = batch.column(0).to_pylist()
@@ -201,13 +180,7 @@ def linked(classes: DataFrame, tables: list[np.ndarray], distance: int,
                              end - start) + np.arange((end - start).sum())
             raw = table.column("fp").take(pa.array(rows))
             e = np.cumsum(end - start)
-            i, j = _links(_words(raw), e - (end - start), e, distance, nearest)
-            if nearest:
-                if len(i):
-                    yield pa.RecordBatch.from_arrays(
-                        [raw.take(pa.array(i)).combine_chunks(),
-                         raw.take(pa.array(j)).combine_chunks()], names=["a", "b"])
-                continue
+            i, j = _links(_words(raw), e - (end - start), e, distance)
             label = smallest_labels(len(rows), i, j)
             linked_ = np.flatnonzero(label != np.arange(len(rows)))
             if len(linked_):
@@ -245,63 +218,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return rows.join(found, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def _shingled(df: DataFrame, size: int) -> DataFrame:
-    """``fp`` and the distinct shingle hashes of ``text``."""
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([np.unique(shingle_hashes(t, size)).view(np.int64)
-                                            for t in batch.column(1).to_pylist()],
-                                           pa.list_(pa.int64()))], names=["fp", "s"])
-    return df.select("fp", F.col("text").cast("binary")).mapInArrow(
-        run, "fp binary, s array<long>")
-
-
-def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` whose shingle sets have that Jaccard similarity at least."""
-    both = (pairs.join(shingles.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a")
-            .join(shingles.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
-            .withColumn("i", F.size(F.array_intersect("x", "y"))))
-    return both.filter(F.col("i") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("i"))) \
-        .select("a", "b")
-
-
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
-                 similarity: float = 0.8, words: int = 4, recall: float = 0.999) -> DataFrame:
-    """One row of each group of near copies, with the columns of ``docs``.
-
-    Copies share ``similarity`` of their shingles (Jaccard). Shingle sets of equal size then
-    have the cosine 2s / (1 + s), so an expected share of bits differs. Fingerprints within
-    three standard deviations of it are proposed, and only pairs whose shingle sets do have
-    the similarity are links. A class of equal fingerprints has one text in the comparison;
-    it proposes all pairs of small buckets, in large ones each class's 16 nearest of every
-    table. The row with the smallest key stays, of equal keys that with the smallest hash of
-    its text; a row without a key stays if its group has no key. Rows are told apart by key and
-    text: different texts with one key are different documents, rows equal in both are copies.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4,
+                 distance: int = 4) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with the columns of ``docs``.
+
+    The row with the smallest key stays, of equal keys that with the smallest hash of its text;
+    a row without a key stays if its group has no key. Rows are told apart by key and text:
+    different texts with one key are different documents, rows equal in both are copies.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    differing = math.acos(cosine) / math.pi
-    bits = 64 * words
-    distance = int(bits * differing + 3 * math.sqrt(bits * differing * (1 - differing)))
-    source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"),
-                         F.col(text).alias("text"))
-    rows = written(fingerprints(source, "text", size, words, ("id", "h")))
-    least = F.min(F.struct(F.col("id").isNull(), "id", "h"))
-    classes = written(rows.groupBy("fp").agg(least.alias("k")).select("fp", "k.id", "k.h"))
-    tables = sampled_tables(bits, differing, recall, classes.count())
-    pairs = written(linked(classes, tables, distance, 16).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    c = classes.join(nodes, "fp", "left_semi").select("fp", F.col("id").alias("i"),
-                                                      F.col("h").alias("g"))
-    texts = source.join(c, (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i")))
-    shingles = written(_shingled(texts, size).dropDuplicates(["fp"]))
-    roots = components(verified(pairs, shingles, similarity))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left") \
-        .select("id", "h", F.coalesce("root", "fp").alias("root"))
+    row = F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("id"),
+                   F.xxhash64(text).alias("h"))
+    found = near_duplicates(docs.select(row.alias("row"), text), "row", text, size,
+                            distance=distance)
     own, hashed = fresh("own", docs), fresh("hashed", docs)
-    keep = written(rooted.groupBy("root").agg(least.alias("k")).select(
-        F.col("k.id").alias(own), F.col("k.h").alias(hashed + "_")))
+    keep = written(found.filter(F.col("row").eqNullSafe(F.col("component_id"))).select(
+        F.col("row.id").alias(own), F.col("row.h").alias(hashed + "_")).distinct())
     return (docs.withColumn(hashed, F.xxhash64(text))
             .join(keep, F.col(key).eqNullSafe(F.col(own))
                   & (F.col(hashed) == F.col(hashed + "_")), "left_semi")
