@@ -30,7 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, similarity 0.8."""
+    """One document of each SimHash component stays, by the operator and its contract:
+    shingles of four words, fingerprints linked at four or fewer differing bits."""
     return simhash.deduplicated(docs)
 
 
