@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,15 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut to ``rows`` rows, so that a worker turns few texts at a time into
+    Python values; memory that Arrow keeps goes back when the task ends, as workers stay."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_of(column: str = "text") -> Column:
     """Null texts read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

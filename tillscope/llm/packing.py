@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.base import written
+from tillscope.llm.base import slices, written
 from tillscope.llm.groups import whole_runs
 from tillscope.llm.tokens import SPECIAL, encoder, tokenizer_path
 
@@ -242,21 +242,19 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     end = np.array([END], code).tobytes()
 
     def encoded(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
-                ids = [encoder(path).ids(t) for t in batch.column(2).to_pylist()]
-                # documents of these that hold each term, with the first of them
-                term, df = np.unique(np.concatenate([np.unique(i) for i in ids]),
-                                     return_counts=True)
-                rest = [None] * (len(ids) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1),
-                     pa.array([i.astype(code).tobytes() + end for i in ids], pa.binary()),
-                     pa.array([len(i) for i in ids], pa.int64()),
-                     pa.array([term.astype("<u4").tobytes(), *rest], pa.binary()),
-                     pa.array([df.astype("<u4").tobytes(), *rest], pa.binary())],
-                    names=["id", "row", "ids", "tokens", "terms", "df"])
+        for batch in slices(batches):
+            ids = [encoder(path).ids(t) for t in batch.column(2).to_pylist()]
+            # documents of these that hold each term, with the first of them
+            term, df = np.unique(np.concatenate([np.unique(i) for i in ids]),
+                                 return_counts=True)
+            rest = [None] * (len(ids) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 pa.array([i.astype(code).tobytes() + end for i in ids], pa.binary()),
+                 pa.array([len(i) for i in ids], pa.int64()),
+                 pa.array([term.astype("<u4").tobytes(), *rest], pa.binary()),
+                 pa.array([df.astype("<u4").tobytes(), *rest], pa.binary())],
+                names=["id", "row", "ids", "tokens", "terms", "df"])
 
     kind = dict(docs.dtypes)[key]
     known = written(docs.select(
@@ -285,7 +283,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     weight, mean = weights_of(df, n), (tokens or 0) / max(1, n)
 
     def sketched(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [np.frombuffer(r, code)[:-1] for r in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v.tobytes() for v in vectors(rows, weight)], pa.binary()),
@@ -310,13 +308,11 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                            np.ceil(most)).astype(np.int64)
 
     def leaves(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
-                rows = [np.frombuffer(r, code)[:-1] for r in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf_of(vectors(rows, weight), tree)), *batch.columns],
-                    names=["leaf", *batch.schema.names])
+        for batch in slices(batches):
+            rows = [np.frombuffer(r, code)[:-1] for r in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf_of(vectors(rows, weight), tree)), *batch.columns],
+                names=["leaf", *batch.schema.names])
 
     dealt = known.select("id", "row", "ids").mapInArrow(leaves, f"leaf long, id {kind}, row long, ids binary")
     salt = F.pmod(F.xxhash64("id", "row"), F.get(F.lit(parts.tolist()), F.col("leaf").cast("int")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.base import fresh, written
+from tillscope.llm.base import fresh, slices, written
 from tillscope.llm.components import components
 from tillscope.llm.groups import runs, smallest_labels, whole_runs
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 4, words: int
     names = list(keep) + ["fp"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             prints = [majority(shingle_hashes(t, size), words)
                       for t in batch.column(len(names) - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.base import fresh, held_out, written
+from tillscope.llm.base import fresh, held_out, slices, written
 
 SAMPLE = 10_000        # labelled rows that a model is fitted on, the smallest by hash
 TERMS = 3_000          # learned terms, the most frequent
 PREFIXES = (4, 5, 6)
 NEAR = 5               # words between a hit and a second-person word
-CACHE = 400_000        # words whose marks a task keeps
+CACHE = 100_000        # words whose marks a task keeps
 
 #: Common insults, and second-person words of some languages.
 SEED_WORDS = frozenset(
@@ -282,9 +282,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
     def run(batches):
         marks = Marks(model.lexicon)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             x = np.stack([features(t, marks) for t in batch.column(where).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(model.scores(x))], names=[*batch.schema.names, score])
