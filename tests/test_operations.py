@@ -186,6 +186,45 @@ def test_tree_projection(tables, year, ads):
     assert [r.month for r in sales] == [D(2026, 2, 1), D(2026, 3, 1)]
 
 
+def test_scenarios_differ_where_demand_follows_spending(spark, tables, year):
+    from tillscope.plans import ads as A2
+    months = [D(2023 + m // 12, m % 12 + 1, 1) for m in range(36)]
+    spent = [100 + 400 * (m * 7 % 5 > 2) for m in range(36)]
+    ads = spark.createDataFrame(
+        [(d, "c", "t", s, 1, 1, 1) for d, s in zip(months, spent)],
+        "date date, channel string, cv_type string, cost long, clicks long, conversions long, "
+        "revenue long")
+    lines = spark.createDataFrame(  # ten pieces a month, and one more for every ten spent
+        [(f"o{i}", d, "s1", 10 + s // 10) for i, (d, s) in enumerate(zip(months, spent))],
+        "order_id string, order_date date, sku_id string, quantity int")
+    model = P.fit_demand(lines, tables["products"], ads, trees=20)
+    plan = spark.createDataFrame(
+        [(f"2026-{m:02}", c, 250) for m in (1, 2, 3) for c in ("a", "b")],
+        "month string, channel string, planned_cost long")
+    factors = spark.createDataFrame(
+        [("less", "a", 0.2), ("less", "b", 0.2), ("less", "b", 0.1), ("one", "b", 1.0),
+         ("same", None, 5.0), (None, "a", 9.0), ("gone", "a", None)],
+        "scenario string, channel string, factor double")
+    totals = A2.plan_scenarios(plan, factors)
+    assert {(r.scenario, r.planned, r.adjusted, r.delta) for r in totals.collect()} == {
+        ("less", 500, 100, -400), ("one", 500, 500, 0), ("same", 500, 500, 0)}
+    spend = totals.selectExpr("scenario", "month_start as month", "adjusted as ad_spend")
+    got = rows(model.scenarios(spend, 4), "scenario", "month", "ad_spend", "qty", "delta")
+    assert [g[:2] for g in got] == [(s, D(2026, m, 1)) for s in ("less", "one", "same")
+                                    for m in (1, 2, 3, 4)]
+    by = {g[:2]: g[2:] for g in got}
+    usual = {r.month: r.qty for r in model.project(4).collect()}
+    assert all(q - usual[m] == delta for (_, m), (_, q, delta) in by.items())
+    for m in (1, 2, 3):
+        assert by["less", D(2026, m, 1)][1] + 20 < by["one", D(2026, m, 1)][1]
+        assert by["one", D(2026, m, 1)] == by["same", D(2026, m, 1)]
+    mean = sum(spent) / len(spent)
+    assert by["less", D(2026, 4, 1)] == (mean, usual[D(2026, 4, 1)], 0)  # not in the plan
+    assert rows(A2.plan_scenarios(plan.limit(0), factors)) == []
+    assert rows(A2.plan_scenarios(plan, factors.limit(0))) == []
+    assert rows(model.scenarios(spend.limit(0), 4)) == []
+
+
 def test_actual_projection_table(year):
     sales = P.sales_projection(year, 2, "seasonal")
     table = P.actual_projection_table(monthly_sales(year), sales, "2024-12-01", "2025-01-01")

@@ -323,6 +323,55 @@ def demand_projection_tree_checks(spark, d):
         errors.alias("fits_better"))
 
 
+_FACTORS = [("half", "1-URGENT", 0.5), ("half", "2-HIGH", 0.5), ("half", "3-MEDIUM", 0.5),
+            ("none of two", "1-URGENT", 0.0), ("none of two", "5-LOW", 0.0),
+            ("urgent more", "1-URGENT", 1.7)]
+_SCENARIOS = f"""select scenario, cast(month || '-01' as date) month_start, planned_cost,
+    cast(trunc(planned_cost * coalesce(factor, 1::double)) as bigint) adjusted_cost
+    from plan cross join (select distinct scenario from factors) left join factors f
+      using (scenario, channel)"""
+_FACTOR_ROWS = "select * from (values " + ", ".join(
+    f"('{s}', '{c}', {f}::double)" for s, c, f in _FACTORS) + ") t(scenario, channel, factor)"
+
+
+def _scenario_plans(spark, d):
+    factors = spark.createDataFrame(_FACTORS, "scenario string, channel string, factor double")
+    return D.plan_scenarios(R.ad_plan(spark, d), factors)
+
+
+@query("""select scenario, month_start, cast(sum(planned_cost) as bigint) planned,
+    cast(sum(adjusted_cost) as bigint) adjusted,
+    cast(sum(adjusted_cost) - sum(planned_cost) as bigint) delta,
+    coalesce(cast(sum(adjusted_cost) - sum(planned_cost) as double)
+      / nullif(cast(sum(planned_cost) as double), 0), 0) * 100 delta_pct
+    from moved group by 1, 2""", factors=_FACTOR_ROWS, moved=_SCENARIOS)
+def ad_plan_scenarios(spark, d):
+    """The whole plan under three sets of factors per channel."""
+    return _scenario_plans(spark, d)
+
+
+@query("""select scenario, category, a.month, month_num,
+    coalesce(ad_spend, (select cast(sum(ad_spend) as double) / count(*) from spend)) ad_spend,
+    true as whole, true as delta_fits
+    from ahead a cross join (select distinct scenario from factors)
+    left join planned p using (scenario, month)""",
+       factors=_FACTOR_ROWS, moved=_SCENARIOS,
+       planned="""select scenario, cast(month_start + to_months(84) as date) as month,
+           cast(sum(adjusted_cost) as double) ad_spend from moved group by 1, 2""")
+def demand_scenarios_checks(spark, d):
+    """Scenarios of the plan of seven years ago through one fit: spending of every month,
+    whole pieces, and differences that agree with a projection at mean spending."""
+    spend = _scenario_plans(spark, d).select(
+        "scenario", F.add_months("month_start", 84).alias("month"),
+        F.col("adjusted").cast("double").alias("ad_spend"))
+    model = P.fit_demand(done(spark, d), R.products(spark, d), R.order_ads(spark, d), trees=20)
+    mean = model.project(6).select("category", "month", F.col("qty").alias("usual"))
+    return model.scenarios(spend, 6).join(mean, ["category", "month"]).select(
+        "scenario", "category", "month", "month_num", "ad_spend",
+        (F.col("qty") >= 0).alias("whole"),
+        (F.col("qty") - F.col("usual") == F.col("delta")).alias("delta_fits"))
+
+
 def seasonal_demand(spark, d):
     return P.demand_projection(done(spark, d), R.products(spark, d), horizon=6,
                                method="seasonal")

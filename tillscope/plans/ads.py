@@ -75,6 +75,31 @@ def _plan_sums(adjusted, keys):
             .withColumn("delta_pct", safe_ratio("delta", "planned") * 100))
 
 
+def plan_scenarios(plan: DataFrame, factors: DataFrame) -> DataFrame:
+    """Plan totals by scenario and month, the cost of a row cut to whole money as above.
+
+    ``factors`` (scenario, channel, factor) is a table of hand-made scenarios, of which every
+    task holds one copy; plan rows unfold per scenario. Channels without a factor in a scenario
+    stay as planned, of repeated factors the largest counts, rows without a scenario or factor
+    count for nothing.
+    """
+    known = (factors.where(F.col("scenario").isNotNull() & F.col("factor").isNotNull())
+             .groupBy("scenario", "channel")
+             .agg(F.max(F.col("factor").cast("double")).alias("factor")))
+    # a channel that is null becomes a factor of no channel, yet keeps its scenario
+    per_scenario = known.groupBy("scenario").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("channel").isNotNull(), F.struct("channel", "factor")))).alias("factors"))
+    scenarios = per_scenario.agg(F.collect_list(F.struct("scenario", "factors"))).scalar()
+    factor = F.coalesce(F.try_element_at("s.factors", F.col("channel")), F.lit(1.0))
+    return (_plan_sums(plan.withColumn("month_start", month_from_label("month"))
+                       .withColumn("s", F.explode(scenarios))
+                       .withColumn("scenario", F.col("s.scenario"))
+                       .withColumn("adjusted_cost",
+                                   (F.col("planned_cost") * factor).cast("long")),
+                       ["scenario", "month_start"])
+            .orderBy("scenario", "month_start"))
+
+
 def ad_plan_monthly(adjusted: DataFrame) -> DataFrame:
     return _plan_sums(adjusted, ["month_start"]).orderBy("month_start")
 

@@ -243,6 +243,39 @@ class DemandModel(NamedTuple):
         return _whole_pieces(self.fitted.project(ahead))
 
 
+    def scenarios(self, spend: DataFrame, horizon: int = 12) -> DataFrame:
+        """Pieces by scenario, category and month, and ``delta``, how many more than with the
+        past mean spending throughout; all from this fit, in one pass of the model.
+
+        ``spend`` (scenario, month, ad_spend), see ``plans.ads.plan_scenarios``. A month that a
+        scenario leaves out gets the mean, repeated months are added up, rows without scenario
+        do not count. Months of a scenario travel as one map.
+        """
+        mean = self.mean_spend.scalar()
+        ahead = month_flags(future_months(self.fitted.frame, "category", horizon))
+        by_month = (spend.dropna(subset=["scenario", "month", "ad_spend"])
+                    .groupBy("scenario", "month")
+                    .agg(F.sum(F.col("ad_spend").cast("double")).alias("ad_spend")))
+        months = ahead.agg(F.collect_set("month")).scalar()
+        wanted = (by_month.groupBy("scenario")
+                  .agg(F.map_from_entries(F.collect_list(F.struct("month", "ad_spend")))
+                       .alias("spend"))
+                  .select("scenario", "spend", F.explode(months).alias("month"))
+                  .select("scenario", "month", F.coalesce(
+                      F.try_element_at("spend", F.col("month")), mean).alias("ad_spend")))
+        none = F.lit(None).cast(wanted.schema["scenario"].dataType)
+        both = ahead.withColumn("ad_spend", mean).withColumn("scenario", none) \
+            .unionByName(ahead.join(wanted, "month"))
+        base = F.max(F.when(F.col("scenario").isNull(), F.col("qty"))).over(
+            Window.partitionBy("category", "month"))
+        return (self.fitted.project(both)
+                .select("scenario", "category", "month", "month_num", "ad_spend",
+                        F.greatest(F.col("qty"), F.lit(0.0)).cast("long").alias("qty"))
+                .withColumn("delta", F.col("qty") - base)
+                .where(F.col("scenario").isNotNull())
+                .orderBy("scenario", "category", "month"))
+
+
 def fit_demand(orders: DataFrame, products: DataFrame, ads: DataFrame, trees: int = 100,
                depth: int = 3, seed: int = 42, min_months: int = 6,
                drop_partial: bool = False) -> DemandModel:
