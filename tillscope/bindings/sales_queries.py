@@ -17,6 +17,7 @@ from tillscope.operators.periods import period_bounds as bounds
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
 from tillscope.plans.lifetime import FirstPurchases
+from tillscope.sources.stores import store_by_month, stored_between
 from tillscope.sources.tables import read_checked
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -447,3 +448,22 @@ def csv_folder(spark, d):
                       F.sum(F.dayofmonth("order_date")).alias("days"))
     return counts.select("*", bad.agg(F.count("record")).scalar().alias("bad_records"),
                          F.lit(2).cast("long").alias("files"))
+
+
+@query("""select cast(date_trunc('month', h.order_date) as date) as month,
+    count(distinct order_id) orders, cast(sum(quantity) as bigint) quantity,
+    cast(sum(total_amount) as double) revenue
+    from lines join heads h using (order_id)
+    where h.order_date between date '1996-02-10' and date '1996-11-20' group by 1""")
+def stored_orders_monthly(spark, d):
+    """Lines and heads stored by month and bucketed by order, then joined for ten months."""
+    folder, name = f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", f"store_{uuid.uuid4().hex}"
+    dated = R.order_lines(spark, d).drop("customer_id", "status")
+    sides = [stored_between(store_by_month(df, f"{name}_{side}", f"{folder}/{side}", "order_date",
+                                           "order_id", 16), "order_date", "1996-02-10", "1996-11-20")
+             for side, df in (("lines", dated), ("heads", R.order_heads(spark, d)))]
+    return (sides[0].drop("order_date").join(sides[1], "order_id")
+            .groupBy("order_id", F.trunc("order_date", "MM").alias("month"))
+            .agg(F.sum("quantity").alias("quantity"), F.sum("total_amount").alias("revenue"))
+            .groupBy("month").agg(F.count("*").alias("orders"), F.sum("quantity").alias("quantity"),
+                                  F.sum("revenue").alias("revenue")))
