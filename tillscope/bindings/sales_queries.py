@@ -16,6 +16,7 @@ from tillscope.operators.periods import date_range, latest_date, period_start, t
 from tillscope.operators.periods import period_bounds as bounds
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
+from tillscope.plans.daily import DailySales
 from tillscope.plans.lifetime import FirstPurchases
 from tillscope.sources.stores import store_by_month, stored_between
 from tillscope.sources.tables import read_checked
@@ -467,3 +468,85 @@ def stored_orders_monthly(spark, d):
             .agg(F.sum("quantity").alias("quantity"), F.sum("total_amount").alias("revenue"))
             .groupBy("month").agg(F.count("*").alias("orders"), F.sum("quantity").alias("quantity"),
                                   F.sum("revenue").alias("revenue")))
+
+
+# ── from daily rows kept once ───────────────────────────────────────────────
+
+
+def kept_days(spark, d):
+    """Daily rows of all completed lines in three batches, one of them delivered twice."""
+    lines, at = done(spark, d), F.year("order_date")
+    kept = DailySales(spark, f"{shared_folder(spark)}/days-{uuid.uuid4().hex}")
+    for name, batch in (("mid", at.between(1994, 1996)), ("old", at < 1994),
+                        ("mid", at.between(1994, 1996)), ("new", at > 1996)):
+        kept.add(name, lines.where(batch))
+    return kept
+
+
+_LAST_LINE = "select max(order_date) d from done"
+_KEPT_YEARS = """select done.* from done, newest
+    where order_date between date_trunc('month', d - interval 24 month) and d"""
+
+
+@query("""select min(order_date) first_date, max(order_date) last_date, count(*) as lines
+    from done""")
+def kept_days_range(spark, d):
+    return kept_days(spark, d).dates()
+
+
+@query("""select cast(date_trunc('month', order_date) as date) as month, count(*) as lines,
+    count(distinct order_id) orders, count(distinct customer_id) customers,
+    count(distinct sku_id) skus, cast(sum(quantity) as bigint) quantity,
+    cast(sum(total_amount) as double) revenue from done group by 1""")
+def kept_days_monthly(spark, d):
+    """Sums and distinct counts by month, orders by adding them up."""
+    return (kept_days(spark, d).rows().groupBy(F.trunc("order_date", "MM").alias("month"))
+            .agg(F.sum("lines").alias("lines"), F.sum("orders").alias("orders"),
+                 F.count_distinct("customer_id").alias("customers"),
+                 F.count_distinct("sku_id").alias("skus"), F.sum("quantity").alias("quantity"),
+                 F.sum("total_amount").cast("double").alias("revenue")))
+
+
+@query("""select months, cast(sum(total_amount) as double) revenue,
+    count(distinct order_id) orders, count(distinct customer_id) customers,
+    cast(sum(total_amount) as double) / count(distinct order_id) aov
+    from done, newest, (values (1), (3), (6), (12)) m(months)
+    where order_date between date_trunc('month', d - to_months(months)) and d
+    group by months""", newest=_LAST_LINE)
+def kept_days_kpis(spark, d):
+    """KPIs of the trailing periods; the newest date is the one noted when days were written."""
+    kept = kept_days(spark, d)
+    return A.trailing_kpis(kept.rows(), latest=kept.latest())
+
+
+@query(f"""select flag, {ratio('pieces', 'orders')} pieces_per_order,
+    {ratio('price_sum', 'prices')} mean_unit_price, {ratio('revenue', 'orders')} aov,
+    (select {ratio('revenue', 'orders')} from flags where flag = 'リピート')
+    - (select {ratio('revenue', 'orders')} from flags where flag = '新規') aov_gap
+    from flags""", newest=_LAST_LINE, period=_KEPT_YEARS)
+def kept_days_baskets(spark, d):
+    """Baskets of new and repeat customers over the kept days of two years."""
+    kept = kept_days(spark, d)
+    return A.basket_stats(trailing_period(kept.rows(), "order_date", 24, kept.latest()))
+
+
+@query("""select 'region' as kind, prefecture as name, cast(sum(total_amount) as double) revenue
+    from done join customers using (customer_id) where prefecture is not null group by 2
+    union all select 'type', customer_type, cast(sum(total_amount) as double)
+    from done join customers using (customer_id) where customer_type is not null group by 2
+    union all select 'category', category, cast(sum(total_amount) as double)
+    from done join products using (sku_id) where category is not null group by 2
+    union all (select 'sku', label, cast(sum(total_amount) as double) revenue
+    from done join products using (sku_id) group by sku_id, label
+    order by revenue desc, sku_id limit 15)""")
+def kept_days_breakdowns(spark, d):
+    """Four breakdowns of revenue, all from one set of kept days."""
+    rows = kept_days(spark, d).rows()
+    found = {"region": (A.sales_by_region(rows, R.customers_with_region(spark, d)), "prefecture"),
+             "type": (A.sales_by_customer_type(rows, R.customers(spark, d)), "customer_type"),
+             "category": (A.sales_by_category(rows, R.products(spark, d)), "category"),
+             "sku": (A.sku_ranking(rows, R.products(spark, d)), "label")}
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"),
+                  F.col("revenue").cast("double").alias("revenue"))
+        for kind, (df, name) in found.items()])

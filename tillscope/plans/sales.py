@@ -1,8 +1,9 @@
 """Sales KPIs, new and repeat customers, funnel and sales breakdowns.
 
-All functions take completed order lines (see :func:`completed`). Lines are summed
-per SKU, customer, order or day before any join, so a key holding much of the table
-is reduced on the map side and never shuffled row by row.
+All functions take completed order lines (see :func:`completed`); those that do not say
+otherwise also take their daily rows (``plans.daily``). Lines are summed per SKU,
+customer, order or day before any join, so a key holding much of the table is reduced on the
+map side and never shuffled row by row.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from tillscope.operators.domains import domain, fill_domain
 from tillscope.operators.periods import (
     date_range, latest_date, period_start, trailing_period)
 from tillscope.operators.ranking import top_k
+from tillscope.plans.daily import is_daily, order_count, summed
 
 
 def completed(orders: DataFrame, done: str = S.DONE) -> DataFrame:
@@ -26,9 +28,11 @@ def data_range(orders: DataFrame) -> DataFrame:
                       F.max("order_date").alias("last_date"))
 
 
-def _kpis(distinct):
-    return [zero_if_null(F.sum("total_amount")).alias("revenue"),
-            distinct("order_id").alias("orders"),
+def _estimated_kpis(orders, rsd):
+    def distinct(column):
+        return F.approx_count_distinct(column, rsd)
+    number = order_count(orders) if is_daily(orders) else distinct("order_id")
+    return [zero_if_null(F.sum("total_amount")).alias("revenue"), number.alias("orders"),
             distinct("customer_id").alias("customers")]
 
 
@@ -38,7 +42,7 @@ def revenue_kpis(orders: DataFrame, rsd: float | None = None) -> DataFrame:
     Counts are exact; with ``rsd`` they are estimates with that relative error.
     """
     sums = (exact_kpis(orders) if rsd is None
-            else orders.agg(*_kpis(lambda c: F.approx_count_distinct(c, rsd))))
+            else orders.agg(*_estimated_kpis(orders, rsd)))
     return sums.withColumn("aov", safe_ratio("revenue", "orders"))
 
 
@@ -48,10 +52,14 @@ def exact_kpis(orders: DataFrame, *keys) -> DataFrame:
     An order has one customer, so orders add up over customers and no row is counted
     twice for two distinct counts.
     """
-    per_order = (orders.groupBy(*keys, "customer_id", "order_id")
+    if is_daily(orders):
+        parts = orders.withColumnRenamed("total_amount", "amount")
+    else:
+        parts = (orders.groupBy(*keys, "customer_id", "order_id")
                  .agg(F.sum("total_amount").alias("amount")))
-    per_customer = (per_order.groupBy(*keys, "customer_id")
-                    .agg(F.sum("amount").alias("amount"), F.count("order_id").alias("n")))
+    per_customer = (parts.groupBy(*keys, "customer_id")
+                    .agg(F.sum("amount").alias("amount"),
+                         summed(orders, "orders", F.count("order_id")).alias("n")))
     return per_customer.groupBy(*keys).agg(
         zero_if_null(F.sum("amount")).alias("revenue"),
         zero_if_null(F.sum("n")).alias("orders"),
@@ -65,9 +73,14 @@ def trailing_kpis(orders: DataFrame, months=(1, 3, 6, 12),
     Lines are summed per order first; each order then joins the periods it is in.
     """
     latest = latest_date(orders, "order_date") if latest is None else latest
-    recent = (trailing_period(orders, "order_date", max(months), latest)
-              .groupBy("order_id", "customer_id", "order_date")
-              .agg(F.sum("total_amount").alias("total_amount")))
+    recent = trailing_period(orders, "order_date", max(months), latest)
+    if is_daily(orders):
+        recent = (recent.groupBy("customer_id", "order_date")
+                  .agg(F.sum("total_amount").alias("total_amount"),
+                       F.sum("orders").alias("orders")))
+    else:
+        recent = (recent.groupBy("order_id", "customer_id", "order_date")
+                  .agg(F.sum("total_amount").alias("total_amount")))
     inside = F.array_compact(F.array(*[
         F.when(F.col("order_date") >= period_start(latest, m), m) for m in months]))
     return (exact_kpis(recent.withColumn("months", F.explode(inside)), "months")
@@ -115,7 +128,7 @@ def period_comparison(orders: DataFrame, base: str | None = "previous_month",
 
 def order_size_segment(orders: DataFrame,
                        threshold: int = S.BUSINESS_THRESHOLD) -> DataFrame:
-    """Estimated segment of each order by its number of pieces."""
+    """Estimated segment of each order by its number of pieces; takes lines."""
     return (orders.where(F.col("order_id").isNotNull())
             .groupBy("order_id").agg(zero_if_null(F.sum("quantity")).alias("pieces"))
             .select("order_id",
@@ -138,11 +151,11 @@ def customer_months(orders: DataFrame, history: DataFrame | None = None) -> Data
     month = month_start("order_date").alias("month")
     known_order = F.col("order_id").isNotNull()
     cube = (orders.groupBy("customer_id", month).agg(
-        F.sum("total_amount").alias("revenue"),
-        F.count_distinct("order_id").alias("orders"),
-        F.sum(F.when(known_order, F.col("quantity"))).alias("pieces"),
-        F.sum("unit_price").alias("unit_price_sum"),
-        F.count("unit_price").alias("unit_prices")))
+        F.sum("total_amount").alias("revenue"), order_count(orders).alias("orders"),
+        summed(orders, "pieces", F.sum(F.when(known_order, F.col("quantity"))))
+        .alias("pieces"),
+        summed(orders, "unit_price_sum", F.sum("unit_price")).alias("unit_price_sum"),
+        summed(orders, "unit_prices", F.count("unit_price")).alias("unit_prices")))
     by_customer = Window.partitionBy("customer_id")
     if history is None:
         cube = cube.withColumn("first_month", F.min("month").over(by_customer))
@@ -234,7 +247,7 @@ def basket_stats(orders: DataFrame, history: DataFrame | None = None) -> DataFra
 def repeat_purchase_rate(orders: DataFrame) -> DataFrame:
     """Share of customers with two or more orders."""
     return (orders.where(F.col("customer_id").isNotNull())
-            .groupBy("customer_id").agg(F.count_distinct("order_id").alias("n"))
+            .groupBy("customer_id").agg(order_count(orders).alias("n"))
             .agg(F.count("*").alias("customers"),
                  F.count_if(F.col("n") >= 2).alias("repeaters"))
             .withColumn("rate", safe_ratio("repeaters", "customers")))
@@ -250,7 +263,7 @@ def purchase_funnel(orders: DataFrame, behavior: DataFrame) -> DataFrame:
         zero_if_null(F.sum("product_page_views")).alias("s1"),
         zero_if_null(F.sum("add_to_cart")).alias("s2"),
         safe_ratio(F.sum("bounce_rate"), F.count("bounce_rate")).alias("mean_bounce_rate"))
-    totals = totals.withColumn("s3", orders.agg(F.count_distinct("order_id")).scalar())
+    totals = totals.withColumn("s3", orders.agg(order_count(orders)).scalar())
     base = F.greatest(F.col("s0"), F.lit(1))
     return totals.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(stage).alias("stage"),
@@ -318,7 +331,8 @@ def sales_by_weekday(orders: DataFrame, per_day: bool = False) -> DataFrame:
         orders = (orders.groupBy(F.col("order_date").cast("date").alias("order_date"))
                   .agg(F.sum("total_amount").alias("total_amount")))
     means = (orders.groupBy(number)
-             .agg(F.sum("total_amount").alias("amount"), F.count("total_amount").alias("n"))
+             .agg(F.sum("total_amount").alias("amount"),
+                  summed(orders, "amounts", F.count("total_amount")).alias("n"))
              .select("position", F.try_divide(F.col("amount").cast("double"),
                                               F.col("n").cast("double"))
                      .alias("mean_amount")))

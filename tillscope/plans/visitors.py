@@ -7,6 +7,7 @@ from tillscope import schemas as S
 from tillscope.functions.columns import month_start, safe_ratio, zero_if_null
 from tillscope.operators.domains import domain, fill_domain
 from tillscope.operators.periods import date_range
+from tillscope.plans.daily import order_count
 from tillscope.sources.tables import empty
 
 VALUE_SCHEMA = ("segment string, uu long, sales double, orders long, uu_unit_price double,"
@@ -42,7 +43,7 @@ def segment_visitor_value(sessions: DataFrame | None, orders: DataFrame,
                     .where(F.col("customer_id").isNotNull())
                     .groupBy("customer_id")
                     .agg(F.sum("total_amount").alias("sales"),
-                         F.count_distinct("order_id").alias("orders")))
+                         order_count(orders).alias("orders")))
     bought = (_by_segment(per_customer, customers).groupBy("segment")
               .agg(F.sum("sales").alias("sales"), F.sum("orders").alias("orders")))
     table = domain(sessions.sparkSession, "segment", segments)
