@@ -135,6 +135,58 @@ def test_urls(spark):
     assert urls.judged(df.limit(0), rules, []).count() == 0
 
 
+SPELLINGS = {  # host and path: canonical form
+    ("a.org", "/x"): "a.org/x", ("u:p@a.org:8080", "/x"): "a.org/x", ("a.org.", ""): "a.org",
+    ("a.org:", "/%63asino"): "a.org/casino", ("a.org", "/%2563"): "a.org/%63",
+    ("a.org", "/%%34%zz%"): "a.org/%4%zz%", ("a.org", "//b///c"): "a.org/b/c",
+    ("a.org", "/b/../../c/./d"): "a.org/c/d", ("a.org", "/b/%2e%2E/ads/."): "a.org/ads/",
+    ("a.org", "/b/.."): "a.org/", ("a.org", "/.hid/..x/y."): "a.org/.hid/..x/y.",
+    ("a.org", "/%e9%00%7f"): "a.org/%e9%00%7f", ("", ""): "", ("@:1", "/."): "/",
+    ("a.org", "/é%41\n"): "a.org/éA\n",
+}
+
+
+def test_canonical_form():
+    for (host, path), want in SPELLINGS.items():
+        assert urls.canonical(host, path) == want
+        assert urls.canonical(want.partition("/")[0], want[len(want.partition("/")[0]):]) == want \
+            or "%" in path
+
+
+def test_globs_meet_the_canonical_form_as_the_sql_says(spark, tmp_path):
+    import duckdb
+
+    from tillscope.llm import queries
+    from tillscope.llm.queries import QUERIES
+
+    found = [f"http://{h}{p}" for h, p in SPELLINGS]
+    found += ["http://a.org/%70oker", "http://a.org/x/..//ads/./1", "http://a.xxx.:80/", None, "",
+              "http://a.org/b/%2E%2e/login%31", "http://u@m.net:1/es/", "http://a.org/x.zi%70",
+              "http://a.org/casin%6f?q", "http://a.org/pok/../er", "http://a.xxx:80", "x%3A//a"]
+    (spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+     .coalesce(1).write.parquet(f"{tmp_path}/pages.parquet"))
+    out = QUERIES["op7_url_filter"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in out.collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert [tuple(r) for r in con.execute(
+        f"select * from ({queries.ORACLE['op7_url_filter']}) order by page_id").fetchall()] == got
+    verdicts = {found[r[0]]: r[4] for r in got}
+    assert verdicts["http://a.org/%70oker"] == verdicts["http://a.xxx.:80/"] == "block"
+    assert verdicts["http://a.org/x.zi%70"] == verdicts["http://a.org/x/..//ads/./1"] == "block"
+    assert verdicts["http://a.org/pok/../er"] == verdicts["http://a.org/x"] == "allow"
+
+
+def test_thousands_of_globs_and_a_very_long_url(spark):
+    blocked = [f"*.site{n}.org/**" for n in range(3000)] + ["**" + "z" * 200]
+    long = "http://a.org/" + "y" * 200_000 + "z" * 200
+    given = ["http://www.site2999.org/x", "http://www.site3000.org/x", "http://m.site7.org:8/y", long,
+             long + "y", "http://star*.org/a", "http://starry.org/a"]
+    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").coalesce(1)
+    out = urls.judged(df, [("block", "star*.org", "/")], blocked).orderBy("page_id").collect()
+    assert [r.verdict for r in out] == ["block", "allow", "block", "block", "allow", "block", "allow"]
+
+
 def covered(pieces, docs, window):
     """Every id in one piece; sequences gapless and at most ``window`` long."""
     own, sequence = defaultdict(list), defaultdict(list)

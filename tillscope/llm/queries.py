@@ -120,20 +120,40 @@ URL_PARTS = r"""
 """
 
 
+# decoded: pieces behind each %; resolved: segments, of which '.' and '..' go; all as in urls.canonical
+CANONICAL = r"""
+decoded as (
+  select page_id, host, path, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'),
+           '(:[0-9]*)?$', ''), '\.+$', '') as bare,
+         regexp_replace(array_to_string(list_transform(string_split(path, '%'), lambda x, i:
+           case when i = 1 then x
+                when regexp_matches(x, '^([2-6][0-9A-Fa-f]|7[0-9A-Ea-e])')
+                  then chr(('0x' || substr(x, 1, 2))::int) || substr(x, 3)
+                else '%' || x end), ''), '/+', '/', 'g') as plain
+  from parts),
+canonical as (
+  select page_id, host, path, bare || case when not contains(plain, '/.') then plain else
+           array_to_string(list_reduce(list_transform(string_split(plain, '/'), lambda x: [x]),
+             lambda a, x: case when x[1] = '..' then case when len(a) > 1 then a[:len(a) - 1] else a end
+                               when x[1] = '.' then a else a || x end), '/')
+           || case when regexp_matches(plain, '/\.\.?$') then '/' else '' end end as form
+  from decoded)"""
+
+
 @query(f"""
-with parts as ({URL_PARTS}),
+with parts as ({URL_PARTS}), {CANONICAL},
 rules(verdict, rule_host, rule_path) as (values {", ".join(map(repr, RULES))}),
 globs(pattern) as (values ('casino'), ('/ads/'), ('^[^/]*\\.xxx/'), ('/login[^/]*$'), ('poker'),
                           ('\\.zip$')),
 fitting as (
-  select p.page_id, p.host, p.path, r.rule_host || r.rule_path as rule, r.verdict
-  from parts p left join rules r
+  select p.page_id, p.host, p.path, form, r.rule_host || r.rule_path as rule, r.verdict
+  from canonical p left join rules r
     on (p.host = r.rule_host or ends_with(p.host, '.' || r.rule_host))
    and starts_with(p.path, r.rule_path)
   qualify row_number() over (partition by p.page_id
                              order by length(rule) desc nulls last) = 1)
 select page_id, host, path, rule, coalesce(verdict, case when exists (
-         select 1 from globs g where regexp_matches(host || path, g.pattern))
+         select 1 from globs g where regexp_matches(form, g.pattern))
        then 'block' else 'allow' end) as verdict
 from fitting
 """)

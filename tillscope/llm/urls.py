@@ -1,6 +1,8 @@
 """URL filters: a bit-parallel automaton that runs all wildcard rules over a URL at once.
 
-A rule is a glob: ``*`` stands for any bytes but a slash, ``**`` for any bytes. Every state of
+A rule is a glob: ``*`` stands for any bytes but a slash, ``**`` for any bytes, and a backslash
+takes the wildcard's meaning from the byte behind it. Globs meet a URL's canonical form (see
+:func:`canonical`), so that escapes, ports or dot segments do not hide it. Every state of
 every rule is one bit; the bits of all rules are packed into 64-bit words. For each byte of a
 URL the states move by one shift-and: a state goes on if its next byte matches, and stays if a
 wildcard behind it takes the byte. Rules do not get slower one by one: 64 states cost a word.
@@ -8,6 +10,8 @@ wildcard behind it takes the byte. Rules do not get slower one by one: 64 states
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +38,7 @@ class Globs:
                     loops[-1] = "any" if wide or loops[-1] == "any" else "host"
                     i += 2 if wide else 1
                 else:
+                    i += raw[i] == ord("\\") and i + 1 < len(raw)
                     literal.append(raw[i])
                     loops.append("")
                     i += 1
@@ -93,8 +98,33 @@ def path_of(url: Column) -> Column:
 
 
 def globs_of_rule(host: str, path: str) -> list[str]:
-    """A host rule as globs over host and path: the host itself and all its subdomains."""
-    return [f"{host}{path}**", f"*.{host}{path}**"]
+    """A host rule as globs over host and path: the host itself and all its subdomains.
+
+    The rule is taken literally; a star in it is a star.
+    """
+    plain = re.sub(r"([*\\])", r"\\\1", host + path)
+    return [f"{plain}**", f"*.{plain}**"]
+
+
+def canonical(host: str, path: str) -> str:
+    """Host and path as one string in which different spellings of a URL are equal.
+
+    The host loses user part, port and dots at its end. In the path escapes of printable ASCII
+    are decoded once, repeated slashes become one, and the segments ``.`` and ``..`` are
+    resolved. Letters of the path keep their case and other escapes stay.
+    """
+    host = re.sub(r"(:[0-9]*)?\Z", "", host.rpartition("@")[2], count=1).rstrip(".")
+    path = re.sub(r"%([2-6][0-9A-Fa-f]|7[0-9A-Ea-e])", lambda m: chr(int(m[1], 16)), path)
+    path = re.sub("/+", "/", path)
+    if "/." in path:
+        kept = [""]
+        for segment in path.split("/")[1:]:
+            if segment == "..":
+                kept = kept[:max(len(kept) - 1, 1)]
+            elif segment != ".":
+                kept.append(segment)
+        path = "/".join(kept) + "/" * bool(re.search(r"/\.\.?\Z", path))
+    return host + path
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[str],
@@ -102,7 +132,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[st
     """``pages`` with host, path, rule and verdict.
 
     ``rules``: verdict, host, path; the longest that fits a URL decides. ``blocked``: globs over
-    host and path that block where no rule fits; all else is allowed. All run in one automaton.
+    the canonical form that block where no rule fits; all else is allowed. Rules meet host and path
+    as they stand. All run in one automaton, a second time only where the canonical form differs.
     Null URLs and those without ``://`` have an empty host and path, fit no rule, and are
     allowed unless a glob matches the empty string. Rows are judged one by one, so repeats and
     other columns do not matter; columns of those four names are replaced.
@@ -121,18 +152,23 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[st
         owner = np.array(owners, int)
         for batch in batches:
             host, path = batch.column("host"), batch.column("path")
-            strings = [(h + p).encode() for h, p in zip(host.to_pylist(), path.to_pylist())]
-            hits = automaton.match(strings)
+            pairs = list(zip(host.to_pylist(), path.to_pylist()))
+            strings = [h + p for h, p in pairs]
+            others = [canonical(h, p) for h, p in pairs]
+            changed = [i for i, (s, o) in enumerate(zip(strings, others)) if s != o]
+            every = automaton.match([s.encode() for s in strings + [others[i] for i in changed]])
+            hits = every[:len(strings)]
+            blocking = hits[:, len(globs):].any(1)
+            blocking[changed] = every[len(strings):, len(globs):].any(1)
             fits = np.zeros((len(strings), len(rules)), bool)
             for g, k in enumerate(owner):
                 fits[:, k] |= hits[:, g]
             chosen = np.full(len(strings), -1)
             for k in reversed(longest_first):
                 chosen[fits[:, k]] = k
-            other = hits[:, len(globs):].any(1)
             rule = [names[k] for k in chosen]
             verdict = [verdicts[k] if k >= 0 else "block" if b else "allow"
-                       for k, b in zip(chosen.tolist(), other.tolist())]
+                       for k, b in zip(chosen.tolist(), blocking.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(batch.num_columns)]
                 + [pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
