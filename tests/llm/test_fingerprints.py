@@ -76,18 +76,49 @@ def planted(n_random=600, family=90, words=1, seed=3):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("rows", [10, 2 ** 20])
-def test_no_link_between_fingerprints_is_lost(spark, rows):
+@pytest.mark.parametrize("rows, large", [(10, 4096), (2 ** 20, 4096), (10, 12), (10, 40)])
+def test_no_link_between_fingerprints_is_lost(spark, rows, large):
     prints = planted()
     raw = [p.to_bytes(8) for p in prints]
-    tables = simhash.exact_tables(64, 4, rows)
-    edges = simhash.linked(spark.createDataFrame([(r,) for r in raw], "fp binary"), tables, 4)
+    levels = simhash.exact_tables(64, 4, rows)
+    # few levels, so that the last one has large buckets too
+    levels = levels[:3] if large < 40 else levels
+    edges = simhash.linked(spark.createDataFrame([(r,) for r in raw], "fp binary"), levels, 4,
+                           large)
     got = {bytes(a): bytes(b) for a, b in components(edges).collect()}
     want = union(raw, [(raw[i], raw[j]) for i in range(len(raw)) for j in range(i)
                        if (prints[i] ^ prints[j]).bit_count() <= 4])
     assert {k: got.get(k, k) for k in raw} == want
 
 
+@pytest.mark.parametrize("rows", [2, 2 ** 22, 2 ** 26, 2 ** 40])
+def test_each_level_has_a_table_on_which_close_pairs_agree(rows):
+    levels = simhash.exact_tables(64, 4, rows)
+    assert min(map(len, levels[-1])) == simhash.LONGEST
+    assert all(min(map(len, a)) <= min(map(len, b)) for a, b in zip(levels, levels[1:]))
+    rng = np.random.default_rng(9)
+    for tables in levels:
+        for _ in range(30):
+            spoiled = set(rng.choice(64, 4, replace=False).tolist())
+            assert any(spoiled.isdisjoint(t.tolist()) for t in tables)
+
+
+def test_a_family_of_many_fingerprints_is_cut_into_small_buckets(spark):
+    # 3,000 fingerprints with one half in common: all are in one bucket of the first tables
+    rng = np.random.default_rng(4)
+    low = np.unique(rng.integers(0, 2 ** 20, 3000))
+    raw = [int(0xABCDEF12345 << 20 | int(x)).to_bytes(8) for x in low]
+    levels = simhash.exact_tables(64, 4, len(raw))
+    frame = spark.createDataFrame([(r,) for r in raw], "fp binary")
+    first = simhash.keyed(frame, levels[0]).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert first == len(raw)
+    edges = simhash.linked(frame, levels, 4, 500)
+    got = {bytes(a): bytes(b) for a, b in components(edges).collect()}
+    near = np.bitwise_count(low[:, None] ^ low[None, :]) <= 4
+    label = smallest_labels(len(low), *np.nonzero(near))
+    assert [got.get(r, r) for r in raw] == [raw[i] for i in label]
+
+
 def one_of_each(rows):
     """Smallest ids of the components by all distances of brute-force fingerprints."""
     prints = [(i, simple_print(t)) for i, t in rows]

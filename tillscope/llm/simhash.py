@@ -11,6 +11,10 @@ choice of blocks that an allowed pair must share, so no link is lost. ``sampled_
 takes random bits, for distances at which that would need too many tables. In a bucket the
 pivots discard pairs by the largest difference, and the full distance verifies the survivors.
 Buckets give stars, never all their pairs, and connected components join them.
+
+A bucket of many fingerprints, as of one family of pages, is not searched: its fingerprints
+get longer keys, of one block more, and so on until buckets are small. A pair that shares a
+bucket which is searched is found there; of any other pair both go on, and meet again.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from tillscope.llm.groups import runs, smallest_labels, whole_runs
 SEED = 42
 PIVOTS = 8
 BUCKET = 16  # random fingerprints that a bucket may hold on average
+LARGE = 4096  # fingerprints of a bucket above which they get longer keys
+LONGEST = 48  # bits of a key: at distance 4 no bucket of 64-bit fingerprints exceeds 2**16 then
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,21 +93,32 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 4, words: int
     return slim.mapInArrow(run, schema)
 
 
-def exact_tables(bits: int, distance: int, rows: int) -> list[np.ndarray]:
-    """Bit positions of each key table; pairs within ``distance`` agree on one table at least.
+def block_tables(bits: int, distance: int, blocks: int) -> list[np.ndarray]:
+    """Bit positions of each key table: every choice of all but ``distance`` of the blocks."""
+    parts = np.array_split(np.arange(bits), blocks)
+    return [np.concatenate([parts[i] for i in c])[:LONGEST]
+            for c in combinations(range(blocks), blocks - distance)]
+
+
+def exact_tables(bits: int, distance: int, rows: int) -> list[list[np.ndarray]]:
+    """Key tables, and those with longer keys for the fingerprints of large buckets, and so on;
+    in each of them pairs within ``distance`` agree on one table at least.
 
     ``distance`` bits spoil as many blocks at most, so of b blocks b - ``distance`` agree.
-    More blocks give longer keys and more tables; the fewest that keep buckets small, but two
-    shared blocks at least, so that the rows made per fingerprint stay the same up to 2**24.
+    More blocks give longer keys and more tables. The first have the fewest that keep buckets
+    small, but two shared blocks at least, so that the rows made per fingerprint stay the same
+    up to 2**24; each further level has a block more.
     """
-    wanted = min(48.0, math.log2(max(rows, 2) / BUCKET))
-    for b in range(distance + 2, distance + 6):
-        parts = np.array_split(np.arange(bits), b)
-        choices = list(combinations(range(b), b - distance))
-        shortest = min(sum(len(parts[i]) for i in c) for c in choices)
-        if shortest >= wanted or b == distance + 5:
-            return [np.concatenate([parts[i] for i in c])[:48] for c in choices]
-    raise AssertionError
+    wanted = min(LONGEST, math.log2(max(rows, 2) / BUCKET))
+    levels = []
+    for blocks in range(distance + 2, 4 * distance + 1):
+        tables = block_tables(bits, distance, blocks)
+        shortest = min(map(len, tables))
+        if levels or shortest >= wanted or blocks == distance + 5:
+            levels.append(tables)
+        if levels and shortest >= LONGEST:
+            break
+    return levels or [block_tables(bits, distance, distance + 2)]
 
 
 def sampled_tables(bits: int, differing: float, recall: float, rows: int) -> list[np.ndarray]:
@@ -157,8 +174,8 @@ def _links(fp: np.ndarray, start: np.ndarray, end: np.ndarray, distance: int):
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def linked(classes: DataFrame, tables: list[np.ndarray], distance: int) -> DataFrame:
-    """Edges ``a``, ``b`` between fingerprints ``fp`` that connect what links connect."""
+def keyed(classes: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """``key`` of every table and ``fp``, for each fingerprint."""
     def keys(batches):
         for batch in batches:
             raw = batch.column(0).to_pylist()
@@ -171,6 +188,11 @@ def linked(classes: DataFrame, tables: list[np.ndarray], distance: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), batch.column(0)], names=["key", "fp"])
 
+    return classes.select("fp").mapInArrow(keys, "key long, fp binary")
+
+
+def searched(rows: DataFrame, distance: int) -> DataFrame:
+    """Edges ``a``, ``b`` that connect what links within the buckets ``key`` connect."""
     def link(batches):
         for table in whole_runs(batches):
             start, end = runs(table.column("key").to_numpy())
@@ -188,11 +210,31 @@ def linked(classes: DataFrame, tables: list[np.ndarray], distance: int) -> DataF
                     [raw.take(pa.array(linked_)).combine_chunks(),
                      raw.take(pa.array(label[linked_])).combine_chunks()], names=["a", "b"])
 
-    return (classes.select("fp").mapInArrow(keys, "key long, fp binary")
-            .repartition("key").sortWithinPartitions("key")
+    return (rows.repartition("key").sortWithinPartitions("key")
             .mapInArrow(link, "a binary, b binary"))
 
 
+def linked(classes: DataFrame, levels: list[list[np.ndarray]], distance: int,
+           large: int = LARGE) -> DataFrame:
+    """Edges ``a``, ``b`` between fingerprints ``fp`` that connect what links connect.
+
+    Buckets of more than ``large`` fingerprints are left to the next level, which has the
+    fingerprints of such buckets only; the last level searches all its buckets.
+    """
+    found = None
+    for tables in levels[:-1]:
+        rows = written(keyed(classes, tables))
+        crowded = written(rows.groupBy("key").agg(F.count("*").alias("n"))
+                          .filter(F.col("n") > large).select("key"))
+        edges = searched(rows.join(crowded, "key", "left_anti"), distance)
+        found = edges if found is None else found.union(edges)
+        if crowded.isEmpty():
+            return found
+        classes = written(rows.join(crowded, "key", "left_semi").select("fp").distinct())
+    edges = searched(keyed(classes, levels[-1]), distance)
+    return edges if found is None else found.union(edges)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4,
                     words: int = 1, distance: int = 4, sampled: tuple[float, float] | None = None
                     ) -> DataFrame:
@@ -208,9 +250,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                                 ("id",)))
     classes = written(rows.groupBy("fp").agg(F.min("id").alias("least")))
     count = classes.count()
-    tables = sampled_tables(64 * words, *sampled, count) if sampled else \
+    levels = [sampled_tables(64 * words, *sampled, count)] if sampled else \
         exact_tables(64 * words, distance, count)
-    roots = components(linked(classes, tables, distance))
+    roots = components(linked(classes, levels, distance))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left") \
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
