@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,8 +16,15 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Bytes of an Arrow batch to and from Python workers. Spark's own 64 MB are held several times over,
+#: in the JVM and in the worker, by every task.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and get batches
+    of few bytes, unless the session has a limit of its own."""
+    spark.conf.set(BATCH, spark.conf.get(BATCH, BATCH_BYTES))
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -57,7 +65,16 @@ def slices(batches, rows: int = 500):
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    release()
+
+
+def release() -> None:
+    """Gives free memory back to the system: workers stay for the tasks to come, of other
+    operators too, and would keep what the largest of their tasks took."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_of(column: str = "text") -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from tillscope.llm.base import release
+
 
 def whole_runs(batches, key: str = "key"):
     """Arrow tables in which every run of equal keys is whole; input sorted by ``key``."""
@@ -26,6 +28,8 @@ def whole_runs(batches, key: str = "key"):
         held = [piece.slice(start)]
     if held:
         yield pa.concat_tables(held)
+    held = []
+    release()
 
 
 def runs(keys: np.ndarray):
