@@ -6,6 +6,7 @@ from datetime import date as D
 import pytest
 
 from tests.conftest import rows
+from tillscope.bindings.sales_queries import kept_days
 from tillscope.operators.periods import date_range, trailing_period
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
@@ -122,3 +123,29 @@ def test_days_are_pushed_to_the_scan(kept):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(order_date" in plan
     assert "total_amount" not in plan.split("ReadSchema")[1]
+
+
+def test_lines_meet_their_heads_once_for_all_deliveries(spark, tmp_path, monkeypatch):
+    spark.range(1, 8).selectExpr(
+        "id o_orderkey", "id % 3 o_custkey", "'F' o_orderstatus", "1D o_totalprice", "'x' o_orderpriority",
+        "make_timestamp_ntz(1991 + cast(id as int), 5, 1, 0, 0, 0) o_orderdate",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(28).selectExpr(
+        "1 + id % 7 l_orderkey", "id l_partkey", "2D l_quantity", "5D l_extendedprice",
+        "0D l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    leaves, add, held = [], DailySales.add, spark.sparkContext._jsc.getPersistentRDDs
+
+    def noted(self, batch, orders):
+        found = orders._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves.append([found.apply(i).nodeName() for i in range(found.size())])
+        add(self, batch, orders)
+
+    monkeypatch.setattr(DailySales, "add", noted)
+    before = held().size()
+    days = kept_days(spark, str(tmp_path))
+    assert leaves == [["InMemoryRelation"]] * 4
+    assert held().size() == before
+    assert rows(days.dates()) == [(D(1992, 5, 1), D(1998, 5, 1), 28)]
+    per_day = days.rows().groupBy("order_date").agg({"orders": "sum", "lines": "sum"})
+    assert sorted(rows(per_day, "order_date", "sum(orders)", "sum(lines)")) == [
+        (D(1991 + i, 5, 1), 1, 4) for i in range(1, 8)]

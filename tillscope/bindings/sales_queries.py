@@ -474,12 +474,18 @@ def stored_orders_monthly(spark, d):
 
 
 def kept_days(spark, d):
-    """Daily rows of all completed lines in three batches, one of them delivered twice."""
-    lines, at = done(spark, d), F.year("order_date")
+    """Daily rows of all completed lines in three batches, one of them delivered twice.
+
+    Lines meet their heads once, for all deliveries; they are cached until the last is taken in.
+    """
+    lines, at = done(spark, d).drop("status").persist(), F.year("order_date")
     kept = DailySales(spark, f"{shared_folder(spark)}/days-{uuid.uuid4().hex}")
-    for name, batch in (("mid", at.between(1994, 1996)), ("old", at < 1994),
-                        ("mid", at.between(1994, 1996)), ("new", at > 1996)):
-        kept.add(name, lines.where(batch))
+    try:
+        for name, batch in (("mid", at.between(1994, 1996)), ("old", at < 1994),
+                            ("mid", at.between(1994, 1996)), ("new", at > 1996)):
+            kept.add(name, lines.where(batch))
+    finally:
+        lines.unpersist()
     return kept
 
 
