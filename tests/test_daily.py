@@ -6,7 +6,7 @@ from datetime import date as D
 import pytest
 
 from tests.conftest import rows
-from tillscope.bindings.sales_queries import kept_days
+from tillscope.bindings.sales_queries import kept_days, kept_days_breakdowns
 from tillscope.operators.periods import date_range, trailing_period
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
@@ -149,3 +149,52 @@ def test_lines_meet_their_heads_once_for_all_deliveries(spark, tmp_path, monkeyp
     per_day = days.rows().groupBy("order_date").agg({"orders": "sum", "lines": "sum"})
     assert sorted(rows(per_day, "order_date", "sum(orders)", "sum(lines)")) == [
         (D(1991 + i, 5, 1), 1, 4) for i in range(1, 8)]
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    """Orders 1 to 3 in 1993, 1995 and 1997, each with one line of SKU 1 and one of SKU 2; the
+    last two are one customer's. Order 4 is not completed."""
+    folder = tmp_path_factory.mktemp("shop")
+    for name, frame in {
+        "orders": spark.range(1, 5).selectExpr(
+            "id o_orderkey", "if(id = 1, 1L, 2L) o_custkey", "if(id < 4, 'F', 'O') o_orderstatus",
+            "1D o_totalprice", "'x' o_orderpriority",
+            "make_timestamp_ntz(1991 + 2 * cast(id as int), 5, 1, 0, 0, 0) o_orderdate"),
+        "lineitem": spark.range(8).selectExpr(
+            "1 + id div 2 l_orderkey", "1 + id % 2 l_partkey", "2D l_quantity",
+            "10D * (1 + id div 2) l_extendedprice", "0D l_discount"),
+        "customer": spark.range(1, 3).selectExpr(
+            "id c_custkey", "'c' c_name", "cast(id as int) c_nationkey", "0D c_acctbal",
+            "if(id = 1, 'MACHINERY', 'BUILDING') c_mktsegment"),
+        "nation": spark.range(1, 3).selectExpr(
+            "cast(id as int) n_nationkey", "if(id = 1, 'PERU', 'CHINA') n_name", "0 n_regionkey"),
+        "part": spark.range(1, 3).selectExpr(
+            "id p_partkey", "concat('p', id) p_name", "'b' p_brand", "concat('t', id) p_type",
+            "1 p_size", "1D p_retailprice")}.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.fixture
+def delivered(monkeypatch):
+    """The leaves of the plan of each delivery, as they are taken in."""
+    leaves, add = [], DailySales.add
+
+    def noted(self, batch, orders):
+        found = orders._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves.append([found.apply(i).nodeName() for i in range(found.size())])
+        add(self, batch, orders)
+
+    monkeypatch.setattr(DailySales, "add", noted)
+    return leaves
+
+
+def test_breakdowns_meet_heads_once_and_read_the_kept_days_alone(spark, shop, delivered):
+    found = kept_days_breakdowns(spark, shop)
+    assert delivered == [["InMemoryRelation"]] * 4
+    assert not any("lineitem" in f or "orders" in f for f in found.inputFiles())
+    assert sorted(r for r in rows(found) if r[0] != "sku") == [
+        ("category", "t1", 60.0), ("category", "t2", 60.0), ("region", "CHINA", 100.0),
+        ("region", "PERU", 20.0), ("type", "BUILDING", 100.0), ("type", "MACHINERY", 20.0)]
+    assert [r[2] for r in rows(found) if r[0] == "sku"] == [60.0, 60.0]
