@@ -6,7 +6,7 @@ from datetime import date as D
 import pytest
 
 from tests.conftest import rows
-from tillscope.bindings.sales_queries import kept_days, kept_days_breakdowns
+from tillscope.bindings.sales_queries import kept_days, kept_days_baskets, kept_days_breakdowns
 from tillscope.operators.periods import date_range, trailing_period
 from tillscope.plans import sales as A
 from tillscope.plans import visitors as V
@@ -198,3 +198,11 @@ def test_breakdowns_meet_heads_once_and_read_the_kept_days_alone(spark, shop, de
         ("category", "t1", 60.0), ("category", "t2", 60.0), ("region", "CHINA", 100.0),
         ("region", "PERU", 20.0), ("type", "BUILDING", 100.0), ("type", "MACHINERY", 20.0)]
     assert [r[2] for r in rows(found) if r[0] == "sku"] == [60.0, 60.0]
+
+
+def test_baskets_meet_heads_once_and_read_the_kept_days_alone(spark, shop, delivered):
+    found = kept_days_baskets(spark, shop)
+    assert delivered == [["InMemoryRelation"]] * 4
+    assert not any("lineitem" in f or "orders" in f for f in found.inputFiles())
+    sides = {r["flag"]: (r["pieces_per_order"], float(r["aov"])) for r in found.collect()}
+    assert sides == {"新規": (4.0, 40.0), "リピート": (4.0, 60.0)}
